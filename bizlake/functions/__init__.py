@@ -1,7 +1,7 @@
 """Column expressions: every function takes columns and returns a column."""
 
 from .amounts import (  # noqa: F401
-    checked_float, checked_int, checked_text, decimal_comma, double_with_comma, parse_amount,
+    checked_float, checked_int, decimal_comma, double_with_comma, parse_amount,
 )
 from .dates import (  # noqa: F401
     age_years, date_or_null, day_first_date, repair_shifted_year, strict_date, year_text,

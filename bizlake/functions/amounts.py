@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import null_when_token, strip, trim_or_empty
+from .text import trim_or_empty
 
 # fixed values: what an accepted number looks like
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -41,22 +41,11 @@ def double_with_comma(number: Column) -> Column:
     return decimal_comma(readable)
 
 
-def checked_text(text: Column) -> tuple[Column, Column]:
-    """(value, is bad) of a text cell: never bad, kept as written, missing becomes null."""
-    return null_when_token(text), F.lit(False)
+def checked_int(text: Column) -> Column:
+    """Whole number from stripped text, null where it is none."""
+    return F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
 
 
-def checked_int(text: Column) -> tuple[Column, Column]:
-    """(value, is bad) of a whole-number cell: missing counts as bad."""
-    value = strip(text)
-    number = F.when(value.rlike(WHOLE_NUMBER), value.try_cast("bigint"))
-    return number, number.isNull()
-
-
-def checked_float(text: Column) -> tuple[Column, Column]:
-    """(value, is bad) of a decimal cell: missing is a null value, not an error."""
-    value = null_when_token(strip(text))
-    number = F.when(
-        value.rlike(COMMA_NUMBER), F.translate(value, ",", ".").try_cast("double")
-    )
-    return number, value.isNotNull() & number.isNull()
+def checked_float(text: Column) -> Column:
+    """Double from stripped text with a decimal comma or point, null where it is none."""
+    return F.when(text.rlike(COMMA_NUMBER), F.translate(text, ",", ".").try_cast("double"))

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-# fixed values: the date layouts found in the sources
-ISO_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
-DAY_FIRST_FORMATS = ["dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy", "dd-MM-yyyy HH:mm:ss"]
+# fixed value: day, month and year written in that order, and what follows
+DAY_FIRST = r"^(\d{2})[/-](\d{2})[/-](\d{4})"
 
 
 def repair_shifted_year(text: Column) -> Column:
@@ -26,26 +23,18 @@ def repair_shifted_year(text: Column) -> Column:
 
 
 def strict_date(text: Column) -> Column:
-    """Date from ``yyyy-MM-dd``; a bad value stops the job."""
-    return F.to_date(text, "yyyy-MM-dd")
-
-
-def _first_parsed(text: Column, formats: list[str]) -> Column:
-    return reduce(
-        lambda found, layout: F.coalesce(found, F.try_to_timestamp(text, F.lit(layout))),
-        formats[1:],
-        F.try_to_timestamp(text, F.lit(formats[0])),
-    ).cast("date")
+    """Date from ``yyyy-MM-dd``; a bad value stops the job (in ANSI mode, the default)."""
+    return text.cast("date")
 
 
 def date_or_null(text: Column) -> Column:
     """Date from an ISO date or timestamp, null where the text is neither."""
-    return _first_parsed(text, ISO_FORMATS)
+    return text.try_cast("timestamp_ntz").cast("date")
 
 
 def day_first_date(text: Column) -> Column:
     """Date from ISO or day-first text, time of day dropped, null where neither fits."""
-    return _first_parsed(text, ISO_FORMATS + DAY_FIRST_FORMATS)
+    return date_or_null(F.regexp_replace(text, DAY_FIRST, "$3-$2-$1"))
 
 
 def age_years(as_of: Column, since: Column) -> Column:

@@ -6,17 +6,20 @@ from pyspark.sql import Column, functions as F
 
 from ..config import NULL_TOKENS
 
-# fixed value: characters and marks the registry text fields must not hold
-SCRUB_PATTERN = r'[\n\t\r"\'|#\-*]|_x000D_'
+# fixed values: characters and the mark the registry text fields must not hold
+SCRUB_CHARACTERS = "\n\t\r\"'|#-*"
+SCRUB_MARK = "_x000D_"
 
-# fixed value: what counts as white space at the ends of a value
-WHITE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-OUTER_WHITE = rf"^{WHITE}|{WHITE}\z"
+# fixed value: the white-space characters
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(text, OUTER_WHITE, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def trim_or_empty(text: Column) -> Column:
@@ -26,7 +29,8 @@ def trim_or_empty(text: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """Blank out separators, quotes and line marks, then strip; inner runs stay."""
-    return strip(F.regexp_replace(text, SCRUB_PATTERN, " "))
+    unmarked = F.replace(text, F.lit(SCRUB_MARK), F.lit(" "))
+    return strip(F.translate(unmarked, SCRUB_CHARACTERS, " " * len(SCRUB_CHARACTERS)))
 
 
 def null_when_token(text: Column, tokens: list[str] = NULL_TOKENS) -> Column:

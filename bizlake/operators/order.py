@@ -9,6 +9,9 @@ from ..session import settle
 # monotonically_increasing_id() keeps the partition above bit 33
 _SLOT_BITS = 33
 
+#: Largest group one task numbers by itself.
+ROWS_PER_TASK = 500_000
+
 
 def _running_start(sizes: DataFrame, part: list[str], group: list[str]) -> DataFrame:
     """Rows that come before each part, from one small row per part."""
@@ -78,17 +81,32 @@ def number_in_file_order(landed: DataFrame, into: str, per_file: bool = False) -
 
 
 def number_in_group(
-    df: DataFrame, keys: list[str], order: list[Column | str], into: str
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column | str],
+    into: str,
+    per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Number the rows of every group from 1, also for groups too big for one task.
+    """Number the rows of every group from 1.
 
-    The whole table is numbered once, then shifted by the first number of each
-    group.  ``keys`` hold no nulls; ``order`` must be unique within a group.
+    Groups of up to ``per_task`` rows are numbered by a window.  Larger ones are
+    range-sorted as one table and shifted by their first number, so that no
+    task has to hold them.  ``keys`` hold no nulls; ``order`` must be unique
+    within a group.
     """
-    numbered = number_rows(df, [*keys, *order], "_at")
+    large = settle(
+        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_task).select(*keys),
+        "large-groups",
+    )
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    if large.isEmpty():
+        return df.withColumn(into, within)
+    small = df.join(large, keys, "left_anti").withColumn(into, within)
+    numbered = number_rows(df.join(large, keys, "left_semi"), [*keys, *order], "_at")
     first = numbered.groupBy(*keys).agg(F.min("_at").alias("_start"))
-    return (
+    shifted = (
         numbered.join(first, keys)
         .withColumn(into, F.col("_at") - F.col("_start") + 1)
         .drop("_at", "_start")
     )
+    return small.unionByName(shifted)

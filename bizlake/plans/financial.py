@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
-from ..functions import checked_float, checked_int, checked_text, normalise_identifier
+from ..functions import (
+    checked_float, checked_int, normalise_identifier, null_when_token, strip,
+)
 from ..operators.joins import drop_matching
 from ..session import settle
 from ..sources.delimited import require_column_count
 
-CHECKS = {"string": checked_text, "int": checked_int, "float": checked_float}
-
-
 def with_safe_names(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Give the 21 columns their table names, by position; other counts are an error."""
     cells = require_column_count(raw.drop(row_id), len(config.FINANCIAL_SCHEMA))
@@ -23,14 +22,31 @@ def with_safe_names(raw: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 
 def check_cells(named: DataFrame) -> DataFrame:
-    """Typed columns, and ``bad_columns``: the names of cells that do not convert."""
-    values, failed = [], []
+    """Typed columns, and ``bad_columns``: the names of cells that do not convert.
+
+    A missing whole number is bad; missing text and decimals are null values.
+    Each step is a projection of its own, so a cell is stripped and matched once.
+    """
+    kinds = {column: kind for _, kind, column in config.FINANCIAL_SCHEMA}
+    numeric = [c for c, kind in kinds.items() if kind != "string"]
+    stripped = named.withColumns({c: strip(F.col(c)) for c in numeric})
+    present = stripped.withColumns({c: null_when_token(F.col(c)) for c in kinds})
+    converted = present.withColumns({
+        f"_{c}": (checked_int if kinds[c] == "int" else checked_float)(F.col(c)) for c in numeric
+    })
+    failed = []
     for name, kind, column in config.FINANCIAL_SCHEMA:
-        value, bad = CHECKS[kind](F.col(column))
-        values.append(value.alias(column))
-        failed.append(F.when(bad, F.lit(name)))
-    others = [c for c in named.columns if c not in config.FINANCIAL_COLUMNS]
-    return named.select(*others, *values, F.array_compact(F.array(*failed)).alias("bad_columns"))
+        if kind == "int":
+            failed.append(F.when(F.col(f"_{column}").isNull(), F.lit(name)))
+        elif kind == "float":
+            unread = F.col(column).isNotNull() & F.col(f"_{column}").isNull()
+            failed.append(F.when(unread, F.lit(name)))
+    others = [c for c in named.columns if c not in kinds]
+    return converted.select(
+        *others,
+        *[F.col(f"_{c}").alias(c) if c in numeric else F.col(c) for c in kinds],
+        F.array_compact(F.array(*failed)).alias("bad_columns"),
+    )
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:

@@ -142,19 +142,24 @@ def with_site_class(sites: DataFrame) -> DataFrame:
     ).drop(*config.SITE_CLASS_COLUMNS)
 
 
-def registry_exports(sites: DataFrame, activities: DataFrame) -> dict[str, DataFrame]:
-    """The eight exports, before their column layouts."""
-    code_of_hq = F.col("loc_n") == "0"
+def site_exports(sites: DataFrame) -> dict[str, DataFrame]:
+    """The four exports of the registry sheet, before their column layouts."""
     return {
         "repository_registry": with_site_class(sites),
-        "repository_activities": activities,
         "headquarters": best_headquarters(sites),
-        "headquarters_activities": activities.filter(code_of_hq),
         "registry": sites,
-        "activities": activities,
         "registry_filtered": sites.filter(
             in_scope(F.col("sede_ul"), F.col("prov"), config.HEADQUARTERS)
         ),
+    }
+
+
+def activity_exports(activities: DataFrame) -> dict[str, DataFrame]:
+    """The four exports of the activity sheet, before their column layouts."""
+    return {
+        "repository_activities": activities,
+        "headquarters_activities": activities.filter(F.col("loc_n") == "0"),
+        "activities": activities,
         "activities_filtered": activities.filter(in_scope(F.col("loc_n"), F.col("prov"), "0")),
     }
 
@@ -166,7 +171,7 @@ def run_registry(
     """Both sheets in, eight exports out; each cleaned sheet is written once."""
     sites = settle(build_sites(raw_sites, snapshot, as_of, strict=strict), "sites")
     activities = settle(build_activities(raw_activities, sites, snapshot), "activities")
-    return registry_exports(sites, activities)
+    return site_exports(sites) | activity_exports(activities)
 
 
 def companies_without_headquarters(sites: DataFrame) -> DataFrame:

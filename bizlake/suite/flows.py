@@ -11,7 +11,7 @@ from ..session import fresh_path
 from ..sources.delimited import read_delimited
 from ..sources.sinks import with_decimal_commas, write_delimited
 from .base import Tables, query
-from .bindings import LINE_ORDER, LINE_ORDER_SQL
+from .bindings import BINDINGS, LINE_ORDER, LINE_ORDER_SQL
 from .columns import AS_OF, REPAIRED, SCRUBBED, STRIPPED, bad_cells_sql
 from .joins import VAT_DIM, vat_dimension
 from .rankings import KEY
@@ -20,9 +20,22 @@ SNAPSHOT = "06_2024"
 
 
 # --- registry -------------------------------------------------------------------
-def _run_registry(t: Tables) -> dict[str, DataFrame]:
-    raw = number_rows(t.reg, LINE_ORDER, "row_id").drop(*LINE_ORDER)
-    return registry.run_registry(raw, t.codes.drop(*LINE_ORDER), SNAPSHOT, AS_OF)
+def _sites_built(t: Tables) -> DataFrame:
+    """The cleaned registry sheet; lines are numbered first, as a file scan would."""
+    lines = number_rows(t.lineitem, LINE_ORDER, "row_id")
+    text = BINDINGS["reg"].replace("FROM {lineitem}", ", row_id FROM {lineitem}")
+    raw = t.spark.sql(text, lineitem=lines).drop(*LINE_ORDER)
+    return registry.build_sites(raw, SNAPSHOT, AS_OF)
+
+
+def _site_export(t: Tables, name: str) -> DataFrame:
+    return registry.site_exports(_sites_built(t))[name]
+
+
+def _activity_export(t: Tables, name: str) -> DataFrame:
+    codes = t.codes.drop(*LINE_ORDER)
+    activities = registry.build_activities(codes, _sites_built(t), SNAPSHOT)
+    return registry.activity_exports(activities)[name].select(*CODE_COLUMNS)
 
 
 DAYS = ["data_isc_ri", "data_cost", "data_canc", "data_fall", "data_cess_att"]
@@ -74,14 +87,14 @@ def _sites(df: DataFrame, *more: str) -> DataFrame:
 
 @query("E1_registry", SITES_CTE + SITE_OUT + "FROM e1_sites")
 def _(t: Tables):
-    return _sites(_run_registry(t)["registry"])
+    return _sites(_site_export(t, "registry"))
 
 
 @query("E1_repository_registry", SITES_CTE + SITE_OUT + """,
 tipo_sedeul_1 || tipo_sedeul_2 || tipo_sedeul_3 || tipo_sedeul_4 || tipo_sedeul_5 AS tipo_sedeul
 FROM e1_sites""")
 def _(t: Tables):
-    return _sites(_run_registry(t)["repository_registry"], "tipo_sedeul")
+    return _sites(_site_export(t, "repository_registry"), "tipo_sedeul")
 
 
 @query("E1_headquarters", SITES_CTE + SITE_OUT + f"""
@@ -90,34 +103,34 @@ FROM (SELECT *, row_number() OVER (PARTITION BY cf ORDER BY
         DESC NULLS LAST, CASE WHEN data_canc_day IS NULL THEN 0 ELSE 1 END, nome DESC, prov, rea,
         id_localiz) AS rn FROM e1_sites WHERE sede_ul = 'SEDE') WHERE rn = 1""")
 def _(t: Tables):
-    return _sites(_run_registry(t)["headquarters"])
+    return _sites(_site_export(t, "headquarters"))
 
 
 @query("E1_registry_filtered", SITES_CTE + SITE_OUT + """
 FROM e1_sites WHERE sede_ul = 'SEDE' OR prov IN ('GO','PN','UD','TS')""")
 def _(t: Tables):
-    return _sites(_run_registry(t)["registry_filtered"])
+    return _sites(_site_export(t, "registry_filtered"))
 
 
 @query("E1_repository_activities", SITES_CTE + CODE_OUT)
 def _(t: Tables):
-    return _run_registry(t)["repository_activities"].select(*CODE_COLUMNS)
+    return _activity_export(t, "repository_activities")
 
 
 @query("E1_activities", SITES_CTE + CODE_OUT)
 def _(t: Tables):
-    return _run_registry(t)["activities"].select(*CODE_COLUMNS)
+    return _activity_export(t, "activities")
 
 
 @query("E1_headquarters_activities", SITES_CTE + CODE_OUT + " WHERE loc_n = '0'")
 def _(t: Tables):
-    return _run_registry(t)["headquarters_activities"].select(*CODE_COLUMNS)
+    return _activity_export(t, "headquarters_activities")
 
 
 @query("E1_activities_filtered",
        SITES_CTE + CODE_OUT + " WHERE loc_n = '0' OR prov IN ('GO','PN','UD','TS')")
 def _(t: Tables):
-    return _run_registry(t)["activities_filtered"].select(*CODE_COLUMNS)
+    return _activity_export(t, "activities_filtered")
 
 
 # --- participation ----------------------------------------------------------------
@@ -186,13 +199,12 @@ def _financial_input(t: Tables, status: str) -> DataFrame:
     return rows.select(*config.FINANCIAL_COLUMNS, F.col("o_orderkey").alias("row_id"))
 
 
-def _run_financial(t: Tables) -> dict[str, DataFrame]:
-    """Two runs: the second reads the file the first one wrote."""
+def _previous_statements(t: Tables) -> DataFrame:
+    """What an earlier run wrote, read back."""
     earlier = financial.run_financial(_financial_input(t, "F"))["valid"]
     path = fresh_path(t.spark, "statements")
     write_delimited(with_decimal_commas(earlier), path)
-    previous = read_delimited(t.spark, path, "|", blanks="keep")
-    return financial.run_financial(_financial_input(t, "P"), previous)
+    return read_delimited(t.spark, path, "|", blanks="keep")
 
 
 def _typed_cells() -> str:
@@ -218,7 +230,7 @@ prev AS (SELECT {_typed_cells()} FROM checked WHERE o_orderstatus = 'F' AND bad
 SELECT * FROM cur UNION ALL
 (SELECT DISTINCT * FROM prev WHERE trim(cf) NOT IN (SELECT trim(cf) FROM cur))""")
 def _(t: Tables):
-    return _run_financial(t)["valid"]
+    return financial.run_financial(_financial_input(t, "P"), _previous_statements(t))["valid"]
 
 
 @query("E3_errors", CHECKED + """
@@ -226,7 +238,7 @@ SELECT o_orderkey + 1 AS riga, 'cannot convert: ' || string_split(bad, ';')[1] A
        bad AS bad_columns
 FROM checked WHERE o_orderstatus = 'P' AND bad <> ''""")
 def _(t: Tables):
-    return _run_financial(t)["errors"]
+    return financial.run_financial(_financial_input(t, "P"))["errors"]
 
 
 # --- serving ----------------------------------------------------------------------
