@@ -30,22 +30,28 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
-def mark_repeated(df: DataFrame, keys: list[str], into: str) -> DataFrame:
+def mark_repeated(
+    df: DataFrame, keys: list[str], into: str, counted: DataFrame | None = None
+) -> DataFrame:
     """Flag every member of a repeated key.
 
     Counts are combined before the shuffle and joined back, so no task has to
-    hold a whole group.
+    hold a whole group.  ``counted`` is a table to count in place of ``df``,
+    for a cheaper one with the same groups.
     """
-    marked = repeated_keys(df, keys).select(*keys, F.lit(True).alias(into))
+    source = df if counted is None else counted
+    marked = repeated_keys(source, keys).select(*keys, F.lit(True).alias(into))
     return match_rows(df, marked, keys, "left").withColumn(
         into, F.coalesce(F.col(into), F.lit(False))
     )
 
 
-def drop_repeated_when(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+def drop_repeated_when(
+    df: DataFrame, keys: list[str], condition: Column, counted: DataFrame | None = None
+) -> DataFrame:
     """Drop members of repeated keys that meet ``condition``; others stay."""
     return (
-        mark_repeated(df, keys, "_repeated")
+        mark_repeated(df, keys, "_repeated", counted)
         .filter(~(F.col("_repeated") & F.coalesce(condition, F.lit(False))))
         .drop("_repeated")
     )

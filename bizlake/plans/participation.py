@@ -32,12 +32,24 @@ def vat_dimension(registry: DataFrame, order: list) -> DataFrame:
     return keep_first(registry.select("piva", "cf", *order), ["piva"], order).select("piva", "cf")
 
 
+# fixed values: roles whose names are listed, and the project column of each list
+LISTED_ROLES = {"coordinator": "coordinator", "participant": "participants"}
+
+
 def names_by_role(organization: DataFrame, role: str, into: str, order: list[str]) -> DataFrame:
-    """``;``-joined organisation names per project for one role."""
+    """``;``-joined organisation names per project for one role, in parts."""
     chosen = organization.filter(F.col("role") == role)
     return join_names(chosen, "projectID", "name", order, into)
 
 
+def name_lists(organization: DataFrame, order: list[str]) -> dict[str, DataFrame]:
+    """The name list of every listed role: {project column: (projectID, part, names)}."""
+    return {
+        into: names_by_role(organization, role, into, order)
+        for role, into in LISTED_ROLES.items()
+    }
+
+
 def with_valid_vat(organization: DataFrame, country: str = "IT") -> DataFrame:
     """Rows of one country with an 11-character VAT number, prefix removed."""
     return (
@@ -59,25 +71,20 @@ def with_comma_amounts(organization: DataFrame) -> DataFrame:
     )
 
 
-def add_names(project: DataFrame, organization: DataFrame, order: list[str]) -> DataFrame:
-    """Add coordinator and participant names to projects keyed by ``id``.
-
-    Lists longer than one cell go on in :func:`further_names`.
-    """
-    named = project
-    for role, into in (("coordinator", "coordinator"), ("participant", "participants")):
-        names = names_by_role(organization, role, into, order).filter("part = 0")
-        named = look_up(named, names, "id", "projectID", [into])
-    return named
+def add_names(project: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """Add the first cell of each name list to projects keyed by ``id``."""
+    for into, names in lists.items():
+        project = look_up(project, names.filter("part = 0"), "id", "projectID", [into])
+    return project
 
 
-def further_names(organization: DataFrame, order: list[str]) -> DataFrame:
-    """What does not fit the first cell of a name list: projectID, role, part, names."""
+def further_names(lists: dict[str, DataFrame]) -> DataFrame:
+    """What does not fit the first cell of a list: projectID, list, part, names."""
     parts = [
-        names_by_role(organization, role, "names", order)
-        .filter("part > 0")
-        .select("projectID", F.lit(role).alias("role"), "part", "names")
-        for role in ("coordinator", "participant")
+        names.filter("part > 0").select(
+            "projectID", F.lit(into).alias("list"), "part", F.col(into).alias("names")
+        )
+        for into, names in lists.items()
     ]
     return parts[0].unionByName(parts[1])
 
@@ -90,23 +97,33 @@ def with_topic_levels(topics: DataFrame, blank_falls_back: bool) -> DataFrame:
     })
 
 
-def build_programme(
-    source: Programme, dimension: DataFrame, order: list[str]
-) -> dict[str, DataFrame]:
-    """Organisations, projects and topics of one programme that count."""
-    organization = settle(
-        link_companies(with_comma_amounts(with_valid_vat(source.organization)), dimension),
-        "organization",
+def build_organization(source: Programme, dimension: DataFrame) -> DataFrame:
+    """Organisations that count, with the tax code of known companies."""
+    return link_companies(with_comma_amounts(with_valid_vat(source.organization)), dimension)
+
+
+def build_lists(source: Programme, counted: DataFrame, order: list[str]) -> dict[str, DataFrame]:
+    """Name lists of the projects that have an organisation that counts."""
+    return name_lists(keep_matching(source.organization, counted, "projectID"), order)
+
+
+def build_project(
+    source: Programme, counted: DataFrame, lists: dict[str, DataFrame]
+) -> DataFrame:
+    """Projects that have an organisation that counts, with all names by role."""
+    return add_names(keep_matching(source.project, counted, "id", "projectID"), lists)
+
+
+def build_topics(source: Programme, counted: DataFrame) -> DataFrame:
+    """Topics of the projects that have an organisation that counts."""
+    return with_topic_levels(
+        keep_matching(source.topics, counted, "projectID"), source.blank_level_falls_back
     )
-    wanted = keep_matching(source.project, organization, "id", "projectID")
-    listed = keep_matching(source.organization, organization, "projectID")
-    topics = keep_matching(source.topics, organization, "projectID")
-    return {
-        "organization": organization,
-        "project": add_names(wanted, listed, order),
-        "topics": with_topic_levels(topics, source.blank_level_falls_back),
-        "further_names": further_names(listed, order),
-    }
+
+
+def counted_projects(source: Programme) -> DataFrame:
+    """Distinct projects that have an organisation that counts."""
+    return with_valid_vat(source.organization).select("projectID").distinct()
 
 
 def finish_projects(project: DataFrame) -> DataFrame:
@@ -124,19 +141,35 @@ def finish_organizations(organization: DataFrame) -> DataFrame:
     return organization.withColumn("contentUpdateDate", day_first_date(F.col("contentUpdateDate")))
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the programmes; a column one of them lacks is null there."""
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    return merged
+
+
 def run_participation(
     programmes: list[Programme], dimension: DataFrame, order: list[str]
 ) -> dict[str, DataFrame]:
-    """Programmes in; organization, project, topics and further_names out."""
-    merged: dict[str, DataFrame] = {}
+    """Programmes in; organization, project, topics and further_names out.
+
+    The projects that count are worked out once per programme and written.
+    """
+    organizations, projects, topics, further = [], [], [], []
     for source in programmes:
-        for name, part in build_programme(source, dimension, order).items():
-            merged[name] = (
-                merged[name].unionByName(part, allowMissingColumns=True) if name in merged else part
-            )
-    merged["project"] = finish_projects(merged["project"])
-    merged["organization"] = finish_organizations(merged["organization"])
-    return merged
+        counted = settle(counted_projects(source), "counted")
+        lists = build_lists(source, counted, order)
+        organizations.append(build_organization(source, dimension))
+        projects.append(build_project(source, counted, lists))
+        topics.append(build_topics(source, counted))
+        further.append(further_names(lists))
+    return {
+        "organization": finish_organizations(together(organizations)),
+        "project": finish_projects(together(projects)),
+        "topics": together(topics),
+        "further_names": together(further),
+    }
 
 
 def regional_matches(organization: DataFrame, dimension: DataFrame) -> DataFrame:

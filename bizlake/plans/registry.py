@@ -67,35 +67,38 @@ def company_ids(sites: DataFrame, row_id: str = "row_id") -> DataFrame:
     return number_rows(companies, ["_first"], "id_impresa").drop("_first")
 
 
-def key_sites(sites: DataFrame, row_id: str = "row_id") -> DataFrame:
+def key_sites(sites: DataFrame, companies: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Add id_localiz, id_impresa and the site flag; drop companies without headquarters.
 
     One join carries the company id and the headquarters test together.
     """
-    companies = company_ids(sites, row_id).filter("has_hq").drop("has_hq")
     return (
-        sites.join(companies, "cf")
+        sites.join(companies.filter("has_hq").drop("has_hq"), "cf")
         .withColumn("id_localiz", F.col(row_id).cast("bigint"))
         .withColumn("SEDE_UL_num", site_flag())
     )
 
 
-def drop_foreign_duplicates(sites: DataFrame) -> DataFrame:
+def drop_foreign_duplicates(sites: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Of repeated (cf, sede_ul) rows, drop those registered by another province.
 
     A group goes away entirely when every member is registered elsewhere.
     """
-    return drop_repeated_when(
-        sites, ["cf", "sede_ul"], F.col("prov") != F.col("prov_camera_commercio")
-    )
+    elsewhere = F.col("prov") != F.col("prov_camera_commercio")
+    return drop_repeated_when(sites, ["cf", "sede_ul"], elsewhere, counted)
 
 
 def build_sites(
     raw: DataFrame, snapshot: str, as_of: dt.date, row_id: str = "row_id", strict: bool = False
 ) -> DataFrame:
-    """The cleaned, keyed registry sheet."""
+    """The cleaned, keyed registry sheet.
+
+    Company ids and repeated sites are worked out on the key columns of the raw
+    sheet; dropping whole companies does not change which sites repeat.
+    """
     cleaned = with_age(clean_sites(raw, snapshot, strict), as_of)
-    return drop_foreign_duplicates(key_sites(cleaned, row_id))
+    keyed = key_sites(cleaned, company_ids(raw, row_id), row_id)
+    return drop_foreign_duplicates(keyed, counted=raw.select("cf", "sede_ul"))
 
 
 def build_activities(raw: DataFrame, sites: DataFrame, snapshot: str) -> DataFrame:

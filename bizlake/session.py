@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # wide projections beyond what the JVM compiles run split into small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -57,3 +59,14 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, where its files give fewer splits than cores.
+
+    For unsplittable or single-block files whose rows need costly work; a scan
+    with enough splits comes back unchanged.  Pass the bare scan: counting its
+    partitions then runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -134,16 +134,16 @@ def _(t: Tables):
 
 
 # --- participation ----------------------------------------------------------------
-def _run_participation(t: Tables) -> dict[str, DataFrame]:
-    def half(odd: int) -> participation.Programme:
-        return participation.Programme(
+def _programmes(t: Tables) -> list[participation.Programme]:
+    return [
+        participation.Programme(
             organization=t.org_raw.filter(F.col("l_orderkey") % 2 == odd),
             project=t.proj_raw.filter(F.col("id").cast("bigint") % 2 == odd),
             topics=t.voc.filter(F.col("l_orderkey") % 2 == odd),
             blank_level_falls_back=bool(odd),
         )
-
-    return participation.run_participation([half(0), half(1)], vat_dimension(t), LINE_ORDER)
+        for odd in (0, 1)
+    ]
 
 
 E2 = f"""
@@ -166,7 +166,10 @@ SELECT projectID, vat AS vatNumber, name, country, role, dim.cf,
        AS contentUpdateDate
 FROM it LEFT JOIN dim ON it.vat = dim.piva""")
 def _(t: Tables):
-    rows = _run_participation(t)["organization"].drop(*LINE_ORDER)
+    dimension = vat_dimension(t)
+    rows = participation.finish_organizations(participation.together([
+        participation.build_organization(source, dimension) for source in _programmes(t)
+    ])).drop(*LINE_ORDER)
     return rows.withColumn("contentUpdateDate", F.col("contentUpdateDate").cast("string"))
 
 
@@ -177,7 +180,7 @@ SELECT id AS projectID, acronym, CAST(TRY_CAST(startDate AS DATE) AS VARCHAR) AS
 FROM proj_raw LEFT JOIN c ON c.projectID = id LEFT JOIN p ON p.projectID = id
 WHERE id IN (SELECT projectID FROM it)""")
 def _(t: Tables):
-    rows = _run_participation(t)["project"]
+    rows = participation.run_participation(_programmes(t), vat_dimension(t), LINE_ORDER)["project"]
     return rows.withColumn("startDate", F.col("startDate").cast("string"))
 
 
@@ -190,7 +193,10 @@ SELECT projectID, euroSciVocTitle, euroSciVocPath, euroSciVocCode,
                           string_split(euroSciVocPath, '/')[2]) END AS livello_2
 FROM voc WHERE projectID IN (SELECT projectID FROM it)""")
 def _(t: Tables):
-    return _run_participation(t)["topics"].drop(*LINE_ORDER)
+    return participation.together([
+        participation.build_topics(source, participation.counted_projects(source))
+        for source in _programmes(t)
+    ]).drop(*LINE_ORDER)
 
 
 # --- financial --------------------------------------------------------------------

@@ -67,7 +67,8 @@ WITH c AS (SELECT projectID, string_agg(name, ';' ORDER BY {LINE_ORDER_SQL}) AS
 SELECT id, acronym, coordinator, participants FROM proj_raw
 LEFT JOIN c ON c.projectID = id LEFT JOIN p ON p.projectID = id""")
 def _(t: Tables):
-    return participation.add_names(t.proj_raw.select("id", "acronym"), t.org_raw, LINE_ORDER)
+    lists = participation.name_lists(t.org_raw, LINE_ORDER)
+    return participation.add_names(t.proj_raw.select("id", "acronym"), lists)
 
 
 @query("J5_drop_companies_without_hq", f"""
