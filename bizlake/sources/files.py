@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -108,7 +109,7 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with fs.open_input_file(inner) as raw, zipfile.ZipFile(raw) as archive:
                     found += [(path, m.filename, m.file_size) for m in archive.infolist()]
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, pa.ArrowInvalid):
                 found.append((path, None, None))
         members = pd.DataFrame(found, columns=["path", "member", "size_bytes"])
         yield members.astype({"size_bytes": "Int64"})
