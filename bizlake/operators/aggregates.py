@@ -36,7 +36,7 @@ def count_by_flag(df: DataFrame, key: str, flag: str, flags: list[str], total: s
 
     Flags are given, so a flag that never occurs is a column of zeros.
     """
-    counted = df.groupBy(key).pivot(flag, flags).agg(F.count(F.lit(1))).na.fill(0, flags)
+    counted = df.groupBy(key).agg(*[F.count_if(F.col(flag) == f).alias(f) for f in flags])
     margin = counted.agg(*[F.sum(f).alias(f) for f in flags]).select(F.lit(total).alias(key), *flags)
     both = counted.unionByName(margin)
     row_total = sum((F.col(f) for f in flags[1:]), F.col(flags[0]))

@@ -83,9 +83,13 @@ def dataset_record(
     publisher: str | None = None,
     sources: list[str] = (),
     provenance: dict[str, str] | None = None,
+    size_bytes: int | None = None,
+    issued: str | None = None,
+    modified: str | None = None,
 ) -> DataFrame:
     """A dataset description as one JSON text, from :func:`structure`."""
     steps = [x for kv in (provenance or {}).items() for x in map(F.lit, kv)]
+    text = "string"
     record = F.struct(
         F.struct(
             F.lit("http://www.w3.org/ns/dcat#").alias("dcat"),
@@ -96,9 +100,12 @@ def dataset_record(
         F.lit(title).alias("dcterms:title"),
         F.lit(description).alias("dcterms:description"),
         F.array(*map(F.lit, keywords)).cast("array<string>").alias("dcat:keyword"),
-        F.lit(publisher).alias("dcterms:publisher"),
+        F.lit(publisher).cast(text).alias("dcterms:publisher"),
+        F.lit(issued).cast(text).alias("dcterms:issued"),
+        F.lit(modified).cast(text).alias("dcterms:modified"),
         F.struct(
-            F.lit(file_name).alias("dcat:accessURL"), F.lit(media_type).alias("dcat:mediaType")
+            F.lit(file_name).alias("dcat:accessURL"), F.lit(media_type).alias("dcat:mediaType"),
+            F.lit(size_bytes).cast("bigint").alias("bytes"),
         ).alias("dcat:distribution"),
         F.struct("columns", "column_count", "row_count", "unmapped_columns").alias("structure"),
         F.array(*map(F.lit, sources)).cast("array<string>").alias("prov:wasDerivedFrom"),
@@ -127,6 +134,20 @@ def catalogue(tables: dict[str, DataFrame], ending: str = ".csv") -> DataFrame:
     return merged
 
 
+def catalogue_record(lines: DataFrame) -> DataFrame:
+    """Catalogue lines as one JSON text; there is one line per dataset."""
+    entry = F.struct("title", "file", "row_count", "column_count")
+    listed = lines.agg(F.array_sort(F.collect_list(entry)).alias("datasets"))
+    context = F.struct(
+        F.lit("http://www.w3.org/ns/dcat#").alias("dcat"),
+        F.lit("http://purl.org/dc/terms/").alias("dcterms"),
+    )
+    record = F.struct(
+        context.alias("@context"), F.lit("dcat:Catalog").alias("@type"), F.col("datasets")
+    )
+    return listed.select(F.to_json(record).alias("record"))
+
+
 def sheet_profile(cells: DataFrame) -> DataFrame:
     """Sheets of many workbooks: sheet, rows below the headers, columns.
 

@@ -11,6 +11,7 @@ from ..operators.dedup import rank_within
 from ..operators.joins import keep_matching, look_up
 from ..operators.order import number_in_group
 from ..operators.shares import add_widths, shares_of_shown, top_rows, widths_of_shown
+from ..session import settle
 
 H2020, HORIZON_EUROPE = config.PROGRAMMES
 
@@ -60,7 +61,11 @@ def company_names(
 def with_company_names(
     shown: DataFrame, headquarters: DataFrame, registry: DataFrame, order: list[str]
 ) -> DataFrame:
-    """Add the company name to a short report, falling back to the tax code."""
+    """Add the company name to a short report, falling back to the tax code.
+
+    The report is written first: its few rows are used twice.
+    """
+    shown = settle(shown, "shown")
     names = company_names(shown, headquarters, registry, order)
     return look_up(shown, names, "cf", "cf", ["company_name"]).withColumn(
         "company_name", label_or(F.col("company_name"), F.col("cf"))
@@ -296,9 +301,8 @@ def connected_companies(
         "financial_count > 0 or project_count > 0"
     )
     found = matching_companies(connected, registry, query.strip(), ["denominazione", "comune"])
-    ranked = top_rows(
-        found, [F.desc("project_count"), F.desc("financial_count"), F.asc("cf")], shown
-    )
+    order_shown = [F.desc("project_count"), F.desc("financial_count"), F.asc("cf")]
+    ranked = settle(top_rows(found, order_shown, shown), "shown")
     rows = keep_matching(registry, F.broadcast(ranked.select("cf")), "cf")
     fields = first_nonblank(rows, "cf", REGISTRY_FIELDS, list(order))
     return look_up(ranked, fields, "cf", "cf", list(REGISTRY_FIELDS.values()))

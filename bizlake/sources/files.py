@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -128,7 +129,11 @@ def wanted_members(members: DataFrame, words: list[str] = WANTED_MEMBERS) -> Dat
 
 
 def unpack_members(members: DataFrame, target: str) -> DataFrame:
-    """Unpack members below ``target``, one task per member; adds ``unpacked`` (the path)."""
+    """Unpack members below ``target``, one task per member; adds ``unpacked`` (the path).
+
+    A member appears under its name only when complete, so a repeated task
+    replaces it with the same content.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,14 +144,16 @@ def unpack_members(members: DataFrame, target: str) -> DataFrame:
                 goal = f"{target}/{stem}/{member}"
                 out_fs, out_path = _open(goal)
                 out_fs.create_dir(out_path.rsplit("/", 1)[0], recursive=True)
+                part = f"{out_path}.{uuid.uuid4().hex}.part"
                 with (
                     fs.open_input_file(inner) as raw,
                     zipfile.ZipFile(raw) as archive,
                     archive.open(member) as source,
-                    out_fs.open_output_stream(out_path) as sink,
+                    out_fs.open_output_stream(part) as sink,
                 ):
                     while chunk := source.read(CHUNK):
                         sink.write(chunk)
+                out_fs.move(part, out_path)
                 written.append(goal)
             yield batch.assign(unpacked=written)
 

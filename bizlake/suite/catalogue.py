@@ -135,7 +135,22 @@ def _(t: Tables):
     return catalogue.catalogue({name: getattr(t, name) for name in TABLES})
 
 
-@query("A5_written_row_counts", "SELECT 'comp' AS title, 'comp.csv' AS file, count(*) AS row_count, CAST(2 AS BIGINT) AS column_count FROM comp")
+@query("M6_catalogue_record", """
+WITH c AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS title, count(*) AS row_count FROM {name}" for name in TABLES) + """)
+SELECT string_agg(title || ':' || CAST(row_count AS VARCHAR), ';' ORDER BY title) AS datasets FROM c""")
+def _(t: Tables):
+    record = catalogue.catalogue_record(catalogue.catalogue({name: getattr(t, name) for name in TABLES}))
+    shape = "datasets array<struct<title:string,row_count:bigint>>"
+    read = record.select(F.from_json("record", shape).alias("r"))
+    return read.select(F.array_join(
+        F.transform("r.datasets", lambda d: F.concat_ws(":", d["title"], d["row_count"])), ";"
+    ).alias("datasets"))
+
+
+@query("A5_written_row_counts", """
+SELECT 'comp' AS title, 'comp.csv' AS file, count(*) AS row_count, CAST(2 AS BIGINT) AS column_count
+FROM comp""")
 def _(t: Tables):
     """Rows of a written export, counted as records."""
     path = fresh_path(t.spark, "counted")
