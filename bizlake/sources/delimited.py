@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import null_when_token
 from ..operators.order import land, number_in_file_order
-from ..session import settle
+from ..session import settle, spread
 from .workbooks import read_sheet
 
 
@@ -49,14 +49,17 @@ def read_delimited(
     ``blanks`` is ``"null"`` to turn blank cells and missing-value words into
     null, or ``"keep"`` to keep all text and read blank cells as ``''``.
     ``row_number`` adds the 1-based position in file order under that name.
-    ``multi_line`` allows line breaks inside quotes; each file is then one
-    task, so turn it off for large files that have none.
+    ``multi_line`` allows line breaks inside quotes; each file is then parsed by
+    one task and its rows spread after that, so turn it off for large files
+    that have none.
     """
     names = columns or header_columns(spark, path, sep, multi_line)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     scan = _reader(spark, sep, multi_line).schema(schema).csv(path)
     if row_number:
         scan = number_in_file_order(land(scan), row_number)
+    elif multi_line:
+        scan = spread(scan)
     return _with_blanks(scan, names, blanks)
 
 
