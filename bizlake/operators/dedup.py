@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import match_rows
+from .joins import join_by
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
@@ -41,7 +41,7 @@ def mark_repeated(
     """
     source = df if counted is None else counted
     marked = repeated_keys(source, keys).select(*keys, F.lit(True).alias(into))
-    return match_rows(df, marked, keys, "left").withColumn(
+    return join_by(df, marked, keys, "left", null_is_value=True).withColumn(
         into, F.coalesce(F.col(into), F.lit(False))
     )
 

@@ -7,13 +7,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def match_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; keys appear once."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(
-        Column.__and__, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+def join_by(
+    left: DataFrame, right: DataFrame, keys: dict[str, str] | list[str], how: str = "inner",
+    null_is_value: bool = False,
+) -> DataFrame:
+    """Equi-join that keeps the columns of ``left`` and adds the other ones of ``right``.
+
+    ``keys`` names the key columns, or maps those of ``left`` to those of
+    ``right``.  ``null_is_value`` lets null match null.
+
+    The join also compares a hash of the key.  The result is the same, but
+    Spark then shuffles both sides for this join, even a side that an
+    aggregate has already partitioned by the key; only then can the skew-join
+    rule split a hot key of the other side.  The side shuffled once more is the
+    aggregated one.
+    """
+    pairs = keys if isinstance(keys, dict) else {k: k for k in keys}
+    types = {f.name: f.dataType for f in left.schema}
+    others = [F.col(f"`{c}`") for c in right.columns if c not in pairs.values()]
+    slim = right.select(
+        *[F.col(r).cast(types[k]).alias(f"_r_{k}") for k, r in pairs.items()], *others
     )
-    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+    hashed = slim.withColumn("_r_hash", F.hash(*[f"_r_{k}" for k in pairs]))
+    same = [
+        F.col(k).eqNullSafe(F.col(f"_r_{k}")) if null_is_value else F.col(k) == F.col(f"_r_{k}")
+        for k in pairs
+    ]
+    condition = reduce(Column.__and__, [*same, F.hash(*pairs) == F.col("_r_hash")])
+    return left.join(hashed, condition, how).drop(*[f"_r_{k}" for k in pairs], "_r_hash")
 
 
 def key_set(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -23,14 +44,12 @@ def key_set(df: DataFrame, *keys: str | Column) -> DataFrame:
 
 def keep_matching(df: DataFrame, keys: DataFrame, on: str, key: str | None = None) -> DataFrame:
     """Rows whose ``on`` occurs in the ``key`` column of ``keys``."""
-    wanted = key_set(keys, F.col(key or on).alias(on))
-    return df.join(wanted, on, "left_semi")
+    return join_by(df, key_set(keys, key or on), {on: key or on}, "left_semi")
 
 
 def drop_matching(df: DataFrame, keys: DataFrame, on: str, key: str | None = None) -> DataFrame:
     """Rows whose ``on`` does not occur in ``keys``; null keys stay."""
-    unwanted = key_set(keys, F.col(key or on).alias(on))
-    return df.join(unwanted, on, "left_anti")
+    return join_by(df, key_set(keys, key or on), {on: key or on}, "left_anti")
 
 
 def look_up(
@@ -40,19 +59,14 @@ def look_up(
 
     Spark broadcasts the dimension when its measured size allows it.
     """
-    slim = dimension.select(F.col(key).alias("_key"), *columns)
-    return df.join(slim, df[on] == slim["_key"], "left").drop("_key")
+    return join_by(df, dimension.select(key, *columns), {on: key}, "left")
 
 
 def split_by_parent(
     child: DataFrame, parent: DataFrame, on: str, parent_key: str | None = None
 ) -> DataFrame:
     """Child rows with ``has_parent``, from one pass over the child."""
-    parents = key_set(parent, F.col(parent_key or on).alias("_key")).withColumn(
-        "_found", F.lit(True)
-    )
-    return (
-        child.join(parents, child[on] == parents["_key"], "left")
-        .withColumn("has_parent", F.col("_found").isNotNull())
-        .drop("_key", "_found")
-    )
+    parents = key_set(parent, parent_key or on).withColumn("_found", F.lit(True))
+    return join_by(child, parents, {on: parent_key or on}, "left").withColumn(
+        "has_parent", F.col("_found").isNotNull()
+    ).drop("_found")

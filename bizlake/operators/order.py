@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
+from .joins import join_by
 
 # monotonically_increasing_id() keeps the partition above bit 33
 _SLOT_BITS = 33
@@ -74,7 +75,7 @@ def number_in_file_order(landed: DataFrame, into: str, per_file: bool = False) -
         blocks, ["_file", "_block"], ["_file"] if per_file else []
     )
     return (
-        landed.join(starts, ["_file", "_block"])
+        join_by(landed, starts, ["_file", "_block"])
         .withColumn(into, F.col("_before") + F.col("_slot") - F.col("_first") + 1)
         .drop("_file", "_block", "_slot", "_first", "_before")
     )
@@ -101,11 +102,11 @@ def number_in_group(
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     if large.isEmpty():
         return df.withColumn(into, within)
-    small = df.join(large, keys, "left_anti").withColumn(into, within)
-    numbered = number_rows(df.join(large, keys, "left_semi"), [*keys, *order], "_at")
+    small = join_by(df, large, keys, "left_anti").withColumn(into, within)
+    numbered = number_rows(join_by(df, large, keys, "left_semi"), [*keys, *order], "_at")
     first = numbered.groupBy(*keys).agg(F.min("_at").alias("_start"))
     shifted = (
-        numbered.join(first, keys)
+        join_by(numbered, first, keys)
         .withColumn(into, F.col("_at") - F.col("_start") + 1)
         .drop("_at", "_start")
     )

@@ -8,7 +8,7 @@ from .. import config
 from ..functions import contains_ignoring_case, label_or, parse_amount, year_text
 from ..operators.aggregates import distinct_by_case, distinct_per_group, first_nonblank
 from ..operators.dedup import rank_within
-from ..operators.joins import keep_matching, look_up
+from ..operators.joins import join_by, keep_matching, look_up
 from ..operators.order import number_in_group
 from ..operators.shares import add_widths, shares_of_shown, top_rows, widths_of_shown
 from ..session import settle
@@ -100,7 +100,7 @@ def company_detail(
         return keep_matching(df, company, "cf")
 
     acronyms = project.select("projectID", F.col("acronym").alias("project_acronym"))
-    linked = own(organization).join(acronyms, "projectID")
+    linked = join_by(own(organization), acronyms, ["projectID"])
     return {
         "company": company,
         "registry": first_children(own(registry), order),
@@ -134,7 +134,7 @@ def of_programmes(project: DataFrame) -> DataFrame:
 
 def with_project(facts: DataFrame, project: DataFrame, columns: list[str]) -> DataFrame:
     """Facts of the two programmes with columns of their project."""
-    return facts.join(of_programmes(project).select("projectID", *columns), "projectID")
+    return join_by(facts, of_programmes(project).select("projectID", *columns), ["projectID"])
 
 
 def _by_programme() -> dict[str, Column]:

@@ -36,18 +36,13 @@ def vat_dimension(registry: DataFrame, order: list) -> DataFrame:
 LISTED_ROLES = {"coordinator": "coordinator", "participant": "participants"}
 
 
-def names_by_role(organization: DataFrame, role: str, into: str, order: list[str]) -> DataFrame:
-    """``;``-joined organisation names per project for one role, in parts."""
-    chosen = organization.filter(F.col("role") == role)
-    return join_names(chosen, "projectID", "name", order, into)
-
-
-def name_lists(organization: DataFrame, order: list[str]) -> dict[str, DataFrame]:
-    """The name list of every listed role: {project column: (projectID, part, names)}."""
-    return {
-        into: names_by_role(organization, role, into, order)
-        for role, into in LISTED_ROLES.items()
-    }
+def name_lists(organization: DataFrame, order: list[str]) -> DataFrame:
+    """``;``-joined organisation names per project, a column per listed role, in parts."""
+    return join_names(
+        organization, "projectID",
+        {into: F.when(F.col("role") == role, F.col("name")) for role, into in LISTED_ROLES.items()},
+        order,
+    )
 
 
 def with_valid_vat(organization: DataFrame, country: str = "IT") -> DataFrame:
@@ -71,22 +66,15 @@ def with_comma_amounts(organization: DataFrame) -> DataFrame:
     )
 
 
-def add_names(project: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+def add_names(project: DataFrame, lists: DataFrame) -> DataFrame:
     """Add the first cell of each name list to projects keyed by ``id``."""
-    for into, names in lists.items():
-        project = look_up(project, names.filter("part = 0"), "id", "projectID", [into])
-    return project
+    first = lists.filter("part = 0")
+    return look_up(project, first, "id", "projectID", list(LISTED_ROLES.values()))
 
 
-def further_names(lists: dict[str, DataFrame]) -> DataFrame:
-    """What does not fit the first cell of a list: projectID, list, part, names."""
-    parts = [
-        names.filter("part > 0").select(
-            "projectID", F.lit(into).alias("list"), "part", F.col(into).alias("names")
-        )
-        for into, names in lists.items()
-    ]
-    return parts[0].unionByName(parts[1])
+def further_names(lists: DataFrame) -> DataFrame:
+    """What does not fit the first cells: projectID, part and the lists."""
+    return lists.filter("part > 0")
 
 
 def with_topic_levels(topics: DataFrame, blank_falls_back: bool) -> DataFrame:
@@ -102,14 +90,12 @@ def build_organization(source: Programme, dimension: DataFrame) -> DataFrame:
     return link_companies(with_comma_amounts(with_valid_vat(source.organization)), dimension)
 
 
-def build_lists(source: Programme, counted: DataFrame, order: list[str]) -> dict[str, DataFrame]:
+def build_lists(source: Programme, counted: DataFrame, order: list[str]) -> DataFrame:
     """Name lists of the projects that have an organisation that counts."""
     return name_lists(keep_matching(source.organization, counted, "projectID"), order)
 
 
-def build_project(
-    source: Programme, counted: DataFrame, lists: dict[str, DataFrame]
-) -> DataFrame:
+def build_project(source: Programme, counted: DataFrame, lists: DataFrame) -> DataFrame:
     """Projects that have an organisation that counts, with all names by role."""
     return add_names(keep_matching(source.project, counted, "id", "projectID"), lists)
 

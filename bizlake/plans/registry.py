@@ -11,7 +11,7 @@ from ..functions import (
     age_years, date_or_null, repair_shifted_year, scrub, site_key, site_number, strict_date,
 )
 from ..operators.dedup import drop_repeated_when, keep_first
-from ..operators.joins import keep_matching
+from ..operators.joins import join_by, keep_matching
 from ..operators.order import number_rows
 from ..session import settle
 
@@ -73,7 +73,7 @@ def key_sites(sites: DataFrame, companies: DataFrame, row_id: str = "row_id") ->
     One join carries the company id and the headquarters test together.
     """
     return (
-        sites.join(companies.filter("has_hq").drop("has_hq"), "cf")
+        join_by(sites, companies.filter("has_hq").drop("has_hq"), ["cf"])
         .withColumn("id_localiz", F.col(row_id).cast("bigint"))
         .withColumn("SEDE_UL_num", site_flag())
     )
@@ -112,7 +112,7 @@ def build_activities(raw: DataFrame, sites: DataFrame, snapshot: str) -> DataFra
     keyed = with_source(raw, snapshot).withColumn(
         "key_cfl", site_key(F.col("cf"), F.col("loc_n"))
     )
-    return keyed.join(ids, "key_cfl")
+    return join_by(keyed, ids, ["key_cfl"])
 
 
 def best_headquarters(sites: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..functions import parse_amount
+from ..operators.joins import look_up
 from ..session import fresh_path
 from ..sources import files
 from ..sources.crosswalk import parse_crosswalk
@@ -220,6 +221,6 @@ def _(t: Tables):
         F.col("event_type").alias("column_name"),
         F.concat(F.lit("schema:"), "event_type").alias("uri"),
     ).distinct()
-    return t.events.select("event_id", F.col("event_type").alias("column_name")).join(
-        known, "column_name", "left"
-    ).withColumnRenamed("column_name", "event_type")
+    return look_up(
+        t.events.select("event_id", "event_type"), known, "event_type", "column_name", ["uri"]
+    )

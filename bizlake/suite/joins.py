@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import label_or, site_key, site_number
 from ..operators.aggregates import first_nonblank
-from ..operators.dedup import drop_repeated_when, keep_first, mark_repeated
-from ..operators.joins import drop_matching, keep_matching, look_up, split_by_parent
+from ..operators.dedup import drop_repeated_when, keep_first, mark_repeated, repeated_keys
+from ..operators.joins import (
+    drop_matching, join_by, keep_matching, look_up, split_by_parent,
+)
 from ..operators.order import number_in_group
 from ..plans import dashboards, financial, participation, registry
 from .base import Tables, query
@@ -32,7 +34,7 @@ FROM reg JOIN ids ON reg.cf = ids.cf""")
 def _(t: Tables):
     sites = t.reg.select("cf", "sede_ul", "rea", F.struct(*LINE_ORDER).alias("row_id"))
     ids = registry.company_ids(sites).select("cf", "id_impresa")
-    return sites.join(ids, "cf").select("cf", "sede_ul", "rea", "id_impresa")
+    return join_by(sites, ids, ["cf"]).select("cf", "sede_ul", "rea", "id_impresa")
 
 
 @query("J2_codes_to_sites", """
@@ -46,7 +48,7 @@ def _(t: Tables):
         F.col("rea").alias("site_rea"),
     )
     codes = t.codes.withColumn("key_cfl", site_key(F.col("cf"), F.col("loc_n")))
-    return codes.join(sites, "key_cfl").select("key_cfl", "ateco", "ateco_tipo", "site_rea")
+    return join_by(codes, sites, ["key_cfl"]).select("key_cfl", "ateco", "ateco_tipo", "site_rea")
 
 
 @query("J3_vat_to_tax_code", f"""
@@ -117,8 +119,9 @@ def _(t: Tables):
 SELECT organisationID, role, proj.projectID, acronym, frameworkProgramme
 FROM org JOIN proj ON org.projectID = proj.projectID""")
 def _(t: Tables):
-    return t.org.select("projectID", "organisationID", "role").join(
-        t.proj.select("projectID", "acronym", "frameworkProgramme"), "projectID"
+    return join_by(
+        t.org.select("projectID", "organisationID", "role"),
+        t.proj.select("projectID", "acronym", "frameworkProgramme"), ["projectID"],
     )
 
 
@@ -193,7 +196,7 @@ FROM org JOIN proj ON proj.projectID = org.projectID""")
 def _(t: Tables):
     org = t.org.select("projectID", "organisationID", "name", *LINE_ORDER)
     placed = dashboards.project_children(org, ["organisationID", *LINE_ORDER])
-    return placed.join(t.proj.select("projectID", "acronym"), "projectID").select(
+    return join_by(placed, t.proj.select("projectID", "acronym"), ["projectID"]).select(
         "projectID", "acronym", "organisationID", "name", "place"
     )
 
@@ -240,8 +243,6 @@ SELECT cf, loc_n, count(*) AS n_rows FROM codes
 GROUP BY cf, prov, rea, loc_n, ateco_tipo, ateco, ateco_desc HAVING count(*) > 1
 UNION ALL SELECT cf, loc_n, count(*) FROM codes GROUP BY cf, loc_n HAVING count(*) > 2""")
 def _(t: Tables):
-    from ..operators.dedup import repeated_keys
-
     seven = ["cf", "prov", "rea", "loc_n", "ateco_tipo", "ateco", "ateco_desc"]
     codes = t.codes
     full = repeated_keys(codes, seven).select("cf", "loc_n", "n_rows")

@@ -30,7 +30,7 @@ SELECT projectID, CAST(0 AS BIGINT) AS part, string_agg(name, ';' ORDER BY {LINE
 FROM org_raw WHERE role = 'participant' GROUP BY projectID""")
 def _(t: Tables):
     chosen = t.org_raw.filter("role = 'participant'")
-    return join_names(chosen, "projectID", "name", LINE_ORDER, "participants")
+    return join_names(chosen, "projectID", {"participants": F.col("name")}, LINE_ORDER)
 
 
 @query("A3_top_frequencies", """

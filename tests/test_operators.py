@@ -32,7 +32,7 @@ def test_joined_names_keep_order_and_skip_nulls(spark):
     df = spark.createDataFrame(
         [("p", "b", 2), ("p", "a", 1), ("p", None, 3), ("q", "z", 1)], "k string, v string, n int"
     )
-    assert rows(names.join_names(df, "k", "v", ["n"], "l"), "k", "part", "l") == [
+    assert rows(names.join_names(df, "k", {"l": F.col("v")}, ["n"]), "k", "part", "l") == [
         ("p", 0, "a;b"), ("q", 0, "z"),
     ]
 
@@ -42,7 +42,11 @@ def test_long_name_lists_continue_and_lose_nothing(spark):
         [("big", f"n{i:04d}", i) for i in range(1_000)] + [("small", "s", 1)],
         "k string, v string, n int",
     ).repartition(5)
-    listed = rows(names.join_names(df, "k", "v", ["n"], "l", per_cell=64), "k", "part", "l")
+    values = {"l": F.col("v"), "odd": F.when(F.col("n") % 2 == 1, F.col("v"))}
+    joined = names.join_names(df, "k", values, ["n"], per_cell=64)
+    listed = rows(joined, "k", "part", "l")
+    odd = sorted((r.part, r.odd) for r in joined.filter("k = 'big'").collect())
+    assert ";".join(text for _, text in odd) == ";".join(f"n{i:04d}" for i in range(1, 1_000, 2))
     big = [(part, text) for key, part, text in listed if key == "big"]
     assert max(text.count(";") + 1 for _, text in big) <= 2 * 64
     assert ";".join(text for _, text in sorted(big)) == ";".join(f"n{i:04d}" for i in range(1_000))
