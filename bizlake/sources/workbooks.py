@@ -12,6 +12,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import settle
+
 # fixed values: names used inside the workbook format
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -149,3 +151,15 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     cells = workbook_cells(open_workbooks(spark, path))
     name = sheet or cells.select("sheet").first().sheet
     return sheet_table(cells, name, sheet_header(cells, name))
+
+
+def read_workbook(
+    spark: SparkSession, path: str, sheets: list[str], row: str | None = None
+) -> dict[str, DataFrame]:
+    """The expected sheets of a workbook as string tables, with row numbers if named.
+
+    The workbook is parsed once; sheets, headers and rows come from that table.
+    """
+    cells = settle(workbook_cells(open_workbooks(spark, path)), "cells")
+    require_sheets(cells, sheets)
+    return {s: sheet_table(cells, s, sheet_header(cells, s), row) for s in sheets}

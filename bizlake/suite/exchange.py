@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import config
 from ..functions import parse_amount
 from ..operators.joins import look_up
-from ..session import fresh_path
+from ..session import fresh_path, settle
 from ..sources import files
 from ..sources.crosswalk import parse_crosswalk
 from ..sources.delimited import load_table, read_delimited, read_skipping_long_lines
@@ -36,7 +36,7 @@ def _written(t: Tables, df: DataFrame, label: str, sep: str, ending: str = "") -
 @query("S1_workbook_sheets", "SELECT cf, denominazione, prov, comune, tel FROM comp")
 def _(t: Tables):
     books = as_workbooks(t.comp.select(*COMPANY), *config.WORKBOOK_SHEETS)
-    cells = require_sheets(workbook_cells(books), config.WORKBOOK_SHEETS)
+    cells = require_sheets(settle(workbook_cells(books), "cells"), config.WORKBOOK_SHEETS)
     sheet = config.WORKBOOK_SHEETS[0]
     return sheet_table(cells, sheet, sheet_header(cells, sheet))
 
