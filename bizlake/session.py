@@ -21,6 +21,10 @@ RUNTIME = {
 }
 
 
+#: Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply :data:`RUNTIME` to a running session."""
     for name, value in RUNTIME.items():
@@ -40,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="bizlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="bizlake-")
+    return _LOCAL_FOLDERS[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
