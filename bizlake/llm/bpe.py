@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import as_batch, chunks, documents
 
 #: Entries that a worker's tables hold before they start anew.
-PIECES_KEPT, CUTS_KEPT = 600_000, 800_000
+PIECES_KEPT, CUTS_KEPT = 300_000, 350_000
 
 RESULT = pa.schema([
     ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +55,12 @@ def parts_for(spark: SparkSession, n_bytes: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BLOCK_BYTES), 1)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece holds about ``limit`` bytes of its text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x.as_buffer()) for x in batch.column("text")], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(sizes) // limit
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
@@ -78,7 +79,7 @@ def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object
     """Rows of a partition sorted by ``key``, one key at a time."""
     current, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for at in range(0, batch.num_rows, 16) for r in batch.slice(at, 16).to_pylist()):
             if rows and row[key] != current:
                 yield current, rows
                 rows = []

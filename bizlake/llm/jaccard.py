@@ -8,12 +8,13 @@ differ in at most a ninth of the sum of their sizes.
 Candidates: sets are dealt to bands by size, and in each band the (wide, sparse)
 sketch is cut into more slices than a linking pair can differ in, so one slice at
 least is equal.  A slice is known by the XOR of its shingles' hashes.  Each band
-has 2e spare slices, so every set may leave out any e of its own: those that are
-most common in its task, mostly empty ones and bits of common passages.
+has 2e spare slices, so every set may leave out any e of its own: the empty ones
+and those whose rarest shingle stands in most texts of the task, such as bits of
+common passages.
 
-Equal sets are one vertex, known by the XOR of its hashes.  In every group with
-an equal slice the members are first compared with one of them; after the
-components of these links are known, only pairs in different components are
+Equal sets are one vertex, known by the XOR of its hashes.  Of its groups with
+an equal slice, every vertex is first compared with one other; after the
+components of these links are known, the pairs in different components are
 compared, so no link between components is lost and large groups of near copies
 never give all their pairs.  Pairs whose short parity sketches are too far apart
 go before texts are moved; the others are verified on their whole sets.
@@ -47,8 +48,10 @@ SHINGLE = 5
 NINTHS = 9
 #: Bits of the short sketch that is compared before texts are moved.
 SKETCH_BITS = 2048
+#: Texts that are compared with one other in a task.
+GROUP = 200
 #: Keys that a task holds before it hands its blobs on, and keys in a bucket.
-FLUSH_KEYS, BUCKET_KEYS = 1_500_000, 500_000
+FLUSH_KEYS, BUCKET_KEYS = 800_000, 400_000
 #: Slice keys for a byte of text.
 KEYS_PER_BYTE = 0.09
 
@@ -92,9 +95,10 @@ def _described(batches):
         n = chunk.num_rows
         hashes, owner = shingle_sets(chunk.column("text").to_pylist())
         sizes = np.bincount(owner, minlength=n)
-        bits = np.zeros(n * SKETCH_BITS, dtype=np.uint8)
-        np.bitwise_xor.at(bits, owner * SKETCH_BITS + (mix(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64), np.uint8(1))
-        packed = np.packbits(bits.reshape(n, SKETCH_BITS), axis=1)
+        packed = np.zeros(n * SKETCH_BITS // 8, dtype=np.uint8)
+        bit = (mix(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        np.bitwise_xor.at(packed, owner * (SKETCH_BITS // 8) + bit // 8, (1 << bit % 8).astype(np.uint8))
+        packed = packed.reshape(n, SKETCH_BITS // 8)
         vertex = vertices_of(hashes, owner, n)
         yield as_batch({
             "doc_id": chunk.column("doc_id"), "text_hash": chunk.column("text_hash"), "n_shingles": sizes,
@@ -122,6 +126,8 @@ def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarr
     """(key, text) for the slices that each set is looked up by."""
     sizes = np.bincount(owner, minlength=n)
     band = np.searchsorted(_edges(), np.maximum(sizes, 1), side="right") - 1
+    _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    texts_with = count[inverse]
     keys, texts = [], []
     for up in (0, 1):
         edges = _edges()
@@ -139,12 +145,14 @@ def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarr
         part = (mix(h ^ np.uint64(0x51CE)) % total[o].astype(np.uint64)).astype(np.int64)
         word = np.zeros(int(total.sum()), dtype=np.uint64)
         np.bitwise_xor.at(word, opens[o] + part, mix(h))
+        # a slice is shared only by texts that share all of its shingles
+        rarest = np.full(len(word), np.iinfo(np.int64).max)
+        np.minimum.at(rarest, opens[o] + part, texts_with[take])
         where = ragged(opens, used)
         text = np.repeat(np.arange(n), used)
         number = (where - opens[text]).astype(np.uint64)
         key = mix(word[where] ^ mix(number * np.uint64(4096) + (band[text] + up + 1).astype(np.uint64)))
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        order = np.lexsort((-count[inverse], text))
+        order = np.lexsort((-rarest[where], text))
         rank = np.arange(len(order)) - (np.cumsum(used) - used)[text[order]]
         kept = order[rank >= spare[text[order]]]
         keys.append(key[kept])
@@ -177,7 +185,7 @@ def _deal(buckets: int):
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for chunk in chunks(batches, 4 << 20):
+        for chunk in chunks(batches, 2 << 20):
             hashes, owner = shingle_sets(chunk.column("text").to_pylist())
             vertex = vertices_of(hashes, owner, chunk.num_rows)
             new = np.array([v not in seen and not seen.add(v) for v in vertex.tolist()], dtype=bool)
@@ -226,21 +234,24 @@ def _meet(batches):
 
 
 def _verified(batches):
-    """Pairs whose sets are similar enough."""
+    """Pairs whose sets are similar enough: each group opens with the set that its others are compared with."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            left, of_left = shingle_sets(part.column("text_a").to_pylist())
-            right, of_right = shingle_sets(part.column("text_b").to_pylist())
-            n = part.num_rows
-            sizes = np.bincount(of_left, minlength=n) + np.bincount(of_right, minlength=n)
-            hashes, owner = np.concatenate([left, right]), np.concatenate([of_left, of_right])
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            shared = np.bincount(owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])], minlength=n)
-            good = 100 * shared >= 80 * (sizes - shared)
-            yield as_batch({"a": part.column("a").to_numpy()[good], "b": part.column("b").to_numpy()[good]}, schema)
+    base = np.empty(0, dtype=np.uint64)
+    for chunk in chunks(batches):
+        hashes, owner = shingle_sets(chunk.column("text").to_pylist())
+        opens = np.searchsorted(owner, np.arange(chunk.num_rows + 1))
+        left, right = [], []
+        for k, (a, first, vertex) in enumerate(zip(*(chunk.column(c).to_pylist() for c in ("a", "first", "vertex")))):
+            own = hashes[opens[k] : opens[k + 1]]
+            if first:
+                base = own
+                continue
+            at = np.minimum(np.searchsorted(base, own), len(base) - 1)
+            shared = int((base[at] == own).sum())
+            if 100 * shared >= 80 * (len(base) + len(own) - shared):
+                left.append(a)
+                right.append(vertex)
+        yield as_batch({"a": left, "b": right}, schema)
 
 
 @F.pandas_udf(IntegerType())
@@ -251,33 +262,37 @@ def _hamming(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.bitwise_count(a ^ b).sum(axis=1).astype("int32"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of vertices that link."""
-    near = pairs
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and short sketches let them link."""
     for side in ("a", "b"):
-        near = near.join(sets.select(F.col("vertex").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("vertex").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     close = (NINTHS * F.abs(F.col("n_a") - F.col("n_b")) <= F.col("n_a") + F.col("n_b")) & (
         NINTHS * _hamming("s_a", "s_b") <= F.col("n_a") + F.col("n_b")
     )
-    near = settle(near.filter(close).select("a", "b"), "near")
-    if near.isEmpty():
-        return near
-    wanted = near.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    places = sets.join(wanted, "vertex").select("vertex", F.col("of_doc").alias("doc_id"), F.col("of_text").alias("text_hash"))
-    same = F.coalesce(docs.doc_id, F.lit(NO_ID)) == F.col("p.doc_id")
-    texts = docs.join(places.alias("p"), same & (docs.text_hash == F.col("p.text_hash"))).select("vertex", "text")
-    texts = settle(texts.dropDuplicates(["vertex"]), "texts")
-    joined = near.join(texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a")
-    return settle(joined.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), "verified")
+    return settle(pairs.filter(close).select("a", "b"), "near")
+
+
+def _verify(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    The texts compared with a go to groups of at most about ``GROUP`` and their
+    tasks read them as a stream, after a's own text; a text moves once for each
+    pair, a's once for each group.
+    """
+    spark = near.sparkSession
+    many = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    rows = near.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("vertex"))
+    heads = rows.select("a", "salt").distinct().select("a", "salt", F.lit(True).alias("first"), F.col("a").alias("vertex"))
+    dealt = rows.unionByName(heads).join(texts, "vertex")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = dealt.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.desc("first"))
+    return settle(stream.select("a", "first", "vertex", "text").mapInArrow(_verified, "a long, b long"), "verified")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per document.
+    """(doc_id, n_shingles, component_id) per document.
 
-    ``component_id`` is the smallest id among all documents reachable by links;
-    ``n_links`` counts the verified links of the document's set to other sets
-    that were needed to find the component, not all that exist.
+    ``component_id`` is the smallest id among all documents reachable by links.
     """
     spark = docs.sparkSession
     docs = keyed_text(docs, id_col, text_col)
@@ -295,20 +310,31 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .mapInArrow(_meet, "kind int, a long, b long"),
         "met",
     )
-    links = _verify(met.filter("kind = 0").select("a", "b").distinct(), sets, docs)
+    near = _near(met.filter("kind = 0").select("a", "b").distinct(), sets)
+    wanted = met.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    places = sets.join(wanted, "vertex").select("vertex", "of_doc", "of_text")
+    same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
+    texts = settle(docs.join(places, same).groupBy("vertex").agg(F.first("text").alias("text")), "texts")
+    # each vertex with one other first: most groups are whole after this
+    links = _verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
     found = settle(components(links), "components")
-    # groups whose members are not yet in one component: pairs across, all of them
+    # then every pair with an equal slice whose ends are in different components
+    roots = found.withColumnRenamed("node", "vertex")
     groups = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("vertex"))
-    rooted = groups.join(found.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    rooted = groups.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     rooted = settle(rooted.join(open_, "key", "left_semi"), "open")
     one, two = rooted.alias("x"), rooted.alias("y")
     across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    across = across.select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
-    more = _verify(across, sets, docs)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = settle(components(links), "components")
+    across = across.select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
+    apart = near
+    for side in ("a", "b"):
+        apart = apart.join(roots.select(F.col("vertex").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        apart = apart.withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    apart = apart.filter("root_a <> root_b").select("a", "b")
+    more = _verify(apart.unionByName(_near(across, sets)).distinct(), texts)
+    links = links.unionByName(more)
+    found = settle(components(links), "components")
     ids = sets.select("vertex", "least_id").join(found.withColumnRenamed("node", "vertex"), "vertex")
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = ids.join(least, "root").select("vertex", "component_id")

@@ -25,12 +25,14 @@ from .common import as_batch, chunks, documents, held_out
 MODULUS = 4
 #: Documents of a language that its model is counted on, and n-grams it keeps.
 SAMPLE_DOCS, GRAMS = 600, 60_000
+#: Documents of all languages together; with many languages each gets an equal part.
+SAMPLE_ALL = 100_000
 SIZES = (1, 2, 3)
 SMOOTHING = 0.5
 ROUNDS = 8
 #: Log-likelihood that a further language must bring, times the log of the words.
 PENALTY = 2.0
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -133,20 +135,51 @@ def mixtures(like: np.ndarray, doc: np.ndarray, docs: int, penalty: float = PENA
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Model from at most ``sample_docs`` documents of every language, none held out.
 
-    The ids are drawn per language by a hash and joined to the texts.
+    The ids are drawn per language by a hash and joined to the texts as a table of
+    at most ``SAMPLE_ALL`` rows, so no text moves but those of the sample.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", MODULUS))
+    languages = rows.agg(F.countDistinct("lang")).first()[0]
+    each = max(1, min(sample_docs, SAMPLE_ALL // max(languages, 1)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs).drop("k")
-    picked = rows.join(drawn.distinct(), ["doc_id", "lang"])
+    drawn = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).drop("k")
+    picked = rows.join(F.broadcast(drawn.distinct().limit(SAMPLE_ALL)), ["doc_id", "lang"])
     counts = picked.select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= GRAMS)
     return Model([(r.lang, r.gram, r.n) for r in best.orderBy("lang", "k").collect()])  # at most GRAMS rows a language
 
 
+class _Words:
+    """Mixtures of texts, with a bounded table of words met before."""
+
+    def __init__(self, model: Model):
+        self.model, self.place = model, {}
+        self.held = np.zeros((0, len(model.languages)), dtype=np.float32)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[bool], np.ndarray]:
+        """Which texts have a letter, and the proportions of languages in each."""
+        model = self.model
+        known = [bool(model.languages) and bool(LETTER.search(t or "")) for t in texts]
+        words = [t.lower().split() if k else [] for t, k in zip(texts, known)]
+        if len(self.place) > WORDS_KEPT:
+            self.place, self.held = {}, self.held[:0].copy()
+        place = self.place
+        new = list({w for t in words for w in t if w not in place})
+        if new:
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            self.held = np.concatenate([self.held, model.words(new)])
+        sizes = [len(t) for t in words]
+        at = np.fromiter((place[w] for t in words for w in t), np.int64, sum(sizes))
+        share = mixtures(self.held[at], np.repeat(np.arange(len(texts)), sizes), len(texts))
+        for k in np.flatnonzero(known):
+            if not share[k].any():
+                share[k] = 1 / share.shape[1]
+        return known, share
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, languages): the main language, its proportion, all proportions."""
     schema = pa.schema([
@@ -155,37 +188,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ])
 
     def run(batches):
-        place: dict[str, int] = {}
-        held = np.zeros((0, len(model.languages)), dtype=np.float32)
+        mixed = _Words(model)
         for chunk in chunks(batches):
-            texts = chunk.column("text").to_pylist()
-            known = [bool(model.languages) and bool(LETTER.search(t)) for t in texts]
-            words = [t.lower().split() if k else [] for t, k in zip(texts, known)]
-            if len(place) > WORDS_KEPT:
-                place, held = {}, held[:0]
-            new = list({w for t in words for w in t if w not in place})
-            if new:
-                place.update(zip(new, range(len(place), len(place) + len(new))))
-                held = np.concatenate([held, model.words(new)])
-            sizes = [len(t) for t in words]
-            at = np.fromiter((place[w] for t in words for w in t), np.int64, sum(sizes))
-            share = mixtures(held[at], np.repeat(np.arange(len(texts)), sizes), len(texts))
             columns: dict[str, list] = {f.name: [] for f in schema}
-            for i, k, p in zip(chunk.column("doc_id").to_pylist(), known, share):
+            for i, k, p in zip(chunk.column("doc_id").to_pylist(), *mixed(chunk.column("text").to_pylist())):
                 columns["doc_id"].append(i)
-                if not k:
-                    columns["lang_pred"].append(UNKNOWN)
-                    columns["score"].append(0.0)
-                    columns["languages"].append([])
-                    continue
-                if not p.any():
-                    p = np.full(len(p), 1 / len(p))
-                columns["lang_pred"].append(model.languages[int(p.argmax())])
-                columns["score"].append(min(float(p.max()), 1.0))
-                columns["languages"].append([(name, float(x)) for name, x in zip(model.languages, p) if x > 0])
+                columns["lang_pred"].append(model.languages[int(p.argmax())] if k else UNKNOWN)
+                columns["score"].append(min(float(p.max()), 1.0) if k else 0.0)
+                columns["languages"].append([(name, float(x)) for name, x in zip(model.languages, p) if x > 0] if k else [])
             yield as_batch(columns, schema)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, languages map<string,double>")
 
 
@@ -197,5 +210,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go."""
-    unknown = predict(docs, learn(docs)).filter(F.col("lang_pred") == UNKNOWN).select("doc_id").dropna()
-    return docs.join(unknown, "doc_id", "left_anti")
+    model = learn(docs)
+
+    def run(batches):
+        mixed = _Words(model)
+        for chunk in chunks(batches):
+            known, share = mixed(chunk.column("text").to_pylist())
+            yield chunk.filter(pa.array([k and bool(p.any()) for k, p in zip(known, share)], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

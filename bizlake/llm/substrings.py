@@ -215,7 +215,7 @@ def _find(batches):
 
 def _cut(batches):
     """Each text without the words of its ranges."""
-    for chunk in chunks(batches, 8 << 20):
+    for chunk in chunks(batches, 2 << 20):
         columns: dict[str, list] = {f.name: [] for f in RESULT}
         for i, text, ranges in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "text", "ranges"))):
             words = text.encode().split()

@@ -38,7 +38,7 @@ COMMON, LEAST = 0.005, 4
 #: How many usual gradients a weight counts as seen from the start.
 FLOOR = 3.0
 #: Words that a worker's table holds before it starts anew.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 CUT = 0.3
 
 
