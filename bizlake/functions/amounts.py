@@ -34,11 +34,25 @@ def decimal_comma(text: Column) -> Column:
 
 
 def double_with_comma(number: Column) -> Column:
-    """Double as plain text with a decimal comma (``12,0``, ``0,25``)."""
-    fixed = F.regexp_replace(number.try_cast("decimal(38,12)").cast("string"), r"0+$", "")
-    padded = F.when(F.endswith(fixed, F.lit(".")), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    readable = F.when(F.abs(number) < 1e15, padded).otherwise(number.cast("string"))
-    return decimal_comma(readable)
+    """Double as plain text with a decimal comma (``12,0``, ``0,25``), every digit kept.
+
+    The text that reads back as the same double, its exponent written out.
+    """
+    # as a lambda, so that tables of many such columns still compile
+    return F.transform(F.array(number.cast("string")), _expanded)[0]
+
+
+def _expanded(text: Column) -> Column:
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", "")
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    whole = F.when(exponent >= 0, F.left(F.rpad(digits, exponent + 1, F.lit("0")), exponent + 1)).otherwise(F.lit("0"))
+    rest = F.when(exponent >= 0, F.substring(digits, exponent + 2, F.length(digits))).otherwise(
+        F.concat(F.repeat(F.lit("0"), -exponent - 1), digits)
+    )
+    written = F.concat(sign, whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+    plain = F.when(F.contains(text, F.lit("E")), written).otherwise(text)
+    return decimal_comma(F.regexp_replace(plain, r"(\.\d+?)0+$", "$1"))
 
 
 def checked_int(text: Column) -> Column:

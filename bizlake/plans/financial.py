@@ -88,13 +88,11 @@ def vanished_rows(current: DataFrame, previous: DataFrame, key: str = "cf") -> D
 def carry_forward(current: DataFrame, previous: DataFrame | None, key: str = "cf") -> DataFrame:
     """Current rows plus the vanished rows of the previous output.
 
-    Nothing is carried when there is no previous output, when it lacks a
-    current column, or when the current table is empty.
+    Nothing is carried when there is no previous output or when it lacks a
+    current column.  An empty current table keeps every previous row.
     """
     if previous is None or any(c not in previous.columns for c in current.columns):
         return current
-    if current.isEmpty():
-        return current
     return current.unionByName(vanished_rows(current, previous, key))
 
 

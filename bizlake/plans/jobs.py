@@ -90,8 +90,10 @@ def _previous(spark: SparkSession, path: str) -> DataFrame | None:
     names = {name: column for column, name in config.FINANCIAL_FILE_NAMES.items()}
     try:
         return read_delimited(spark, path, "|", blanks="keep").withColumnsRenamed(names)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise  # an earlier output that can't be read must not be replaced
 
 
 def financial_job(spark: SparkSession, folder: str, target: str, year: int) -> None:

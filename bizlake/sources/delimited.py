@@ -94,7 +94,7 @@ def read_skipping_long_lines(
 
 def count_delimiters(record, sep: str):
     """Delimiters of a raw record outside quotes."""
-    bare = F.regexp_replace(record, r'"([^"]|"")*"', "")
+    bare = F.regexp_replace(record, r'"[^"]*"', "")
     return F.length(F.regexp_replace(bare, f"[^{sep}]", ""))
 
 

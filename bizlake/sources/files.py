@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -17,8 +16,8 @@ WANTED_MEMBERS = ["project", "organization", "euroscivoc"]
 CHUNK = 4 << 20
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder tree: path, name, size_bytes, modified.  Contents are not read."""
+def list_files(spark: SparkSession, folder: str, pattern: str = "*", content: bool = False) -> DataFrame:
+    """Files of a folder tree: path, name, size_bytes, modified, and the content if asked for."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -29,6 +28,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
             F.element_at(F.split("path", "/"), -1).alias("name"),
             F.col("length").alias("size_bytes"),
             F.col("modificationTime").alias("modified"),
+            *(["content"] if content else []),
         )
     )
 
@@ -78,42 +78,10 @@ def digest(content: Column) -> dict[str, Column]:
     return {"sha256": F.sha2(content, 256), "md5": F.md5(content)}
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            sha, md5 = hashlib.sha256(), hashlib.md5()
-            fs, inner = _open(path)
-            with fs.open_input_stream(inner) as stream:
-                while chunk := stream.read(CHUNK):
-                    sha.update(chunk)
-                    md5.update(chunk)
-            digests.append((sha.hexdigest(), md5.hexdigest()))
-        yield batch.assign(sha256=[s for s, _ in digests], md5=[m for _, m in digests])
-
-
-def file_manifest(files: DataFrame) -> DataFrame:
-    """Files with their digests, each file streamed once by one task."""
-    spread = files.repartition("path")
-    return spread.mapInPandas(_hash_files, _extended(files, "sha256 string, md5 string"))
-
-
-def _extended(df: DataFrame, more: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
-
-
-def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for path in batch["path"]:
-            fs, inner = _open(path)
-            try:
-                with fs.open_input_file(inner) as raw, zipfile.ZipFile(raw) as archive:
-                    found += [(path, m.filename, m.file_size) for m in archive.infolist()]
-            except (zipfile.BadZipFile, pa.ArrowInvalid):
-                found.append((path, None, None))
-        members = pd.DataFrame(found, columns=["path", "member", "size_bytes"])
-        yield members.astype({"size_bytes": "Int64"})
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Files of a folder tree with their digests; a file above the reader's limit stops the job."""
+    listed = list_files(spark, folder, pattern, content=True)
+    return listed.withColumns(digest(F.col("content"))).drop("content")
 
 
 def archive_members(files: DataFrame) -> DataFrame:
@@ -131,7 +99,7 @@ def wanted_members(members: DataFrame, words: list[str] = WANTED_MEMBERS) -> Dat
 def unpack_members(members: DataFrame, target: str) -> DataFrame:
     """Unpack members below ``target``, one task per member; adds ``unpacked`` (the path).
 
-    A member appears under its name only when complete, so a repeated task
+    A member whose name leads out of its folder stops the job.  A member appears under its name only when complete, so a repeated task
     replaces it with the same content.
     """
 
@@ -139,6 +107,8 @@ def unpack_members(members: DataFrame, target: str) -> DataFrame:
         for batch in batches:
             written = []
             for path, member in zip(batch["path"], batch["member"]):
+                if member.startswith(("/", "\\")) or ".." in member.replace("\\", "/").split("/"):
+                    raise ValueError(f"{path}: member {member!r} would be written outside its folder")
                 fs, inner = _open(path)
                 stem = inner.rsplit("/", 1)[-1].removesuffix(".zip")
                 goal = f"{target}/{stem}/{member}"

@@ -41,7 +41,10 @@ def _(t: Tables):
     return catalogue.profile(t.org.select(*ORGANIZATION))
 
 
-LINES = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"]
+LINES = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
 
 
 @query("M1_lineitem_profile", _profile_sql("lineitem", LINES))
@@ -86,14 +89,16 @@ def _(t: Tables):
     return catalogue.unmapped_columns(described)
 
 
-@query("M4_file_manifest")
+@query("M4_file_manifest", """
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(strlen(html) + 1 AS BIGINT) AS size_bytes,
+       sha256(html || chr(10)) AS sha256, md5(html || chr(10)) AS md5 FROM pages""")
 def _(t: Tables):
-    """Companies written as one file per province: name, size and digests of each file."""
+    """Every page written to a file of its own: size and digests of each file."""
     path = fresh_path(t.spark, "manifest")
-    t.sites.select("cf", "prov").write.partitionBy("prov").option("header", True).csv(path)
-    return files.file_manifest(files.list_files(t.spark, path, "*.csv")).select(
-        "name", "size_bytes", "sha256", "md5"
-    )
+    pages = t.pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("html").alias("value"))
+    pages.write.partitionBy("page_id").text(path)
+    page = F.regexp_extract("path", "page_id=([^/]+)/", 1)
+    return files.file_manifest(t.spark, path, "*.txt").select(page.alias("page_id"), "size_bytes", "sha256", "md5")
 
 
 @query("M5_dataset_record", f"""

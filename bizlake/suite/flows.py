@@ -200,14 +200,14 @@ def _(t: Tables):
 
 
 # --- financial --------------------------------------------------------------------
-def _financial_input(t: Tables, status: str) -> DataFrame:
-    rows = t.fin_raw.filter(F.col("o_orderstatus") == status)
+def _financial_input(t: Tables, current: bool) -> DataFrame:
+    rows = t.fin_raw.filter((F.col("o_orderstatus") == "P") == current)
     return rows.select(*config.FINANCIAL_COLUMNS, F.col("o_orderkey").alias("row_id"))
 
 
 def _previous_statements(t: Tables) -> DataFrame:
     """What an earlier run wrote, read back."""
-    earlier = financial.run_financial(_financial_input(t, "F"))["valid"]
+    earlier = financial.run_financial(_financial_input(t, False))["valid"]
     path = fresh_path(t.spark, "statements")
     write_delimited(with_decimal_commas(earlier), path)
     return read_delimited(t.spark, path, "|", blanks="keep")
@@ -228,7 +228,7 @@ def _typed_cells() -> str:
 CHECKED = f"""
 WITH checked AS (SELECT *, {bad_cells_sql()} AS bad FROM fin_raw),
 cur AS (SELECT {_typed_cells()} FROM checked WHERE o_orderstatus = 'P' AND bad = ''),
-prev AS (SELECT {_typed_cells()} FROM checked WHERE o_orderstatus = 'F' AND bad = '')
+prev AS (SELECT {_typed_cells()} FROM checked WHERE o_orderstatus <> 'P' AND bad = '')
 """
 
 
@@ -236,7 +236,7 @@ prev AS (SELECT {_typed_cells()} FROM checked WHERE o_orderstatus = 'F' AND bad
 SELECT * FROM cur UNION ALL
 (SELECT DISTINCT * FROM prev WHERE trim(cf) NOT IN (SELECT trim(cf) FROM cur))""")
 def _(t: Tables):
-    return financial.run_financial(_financial_input(t, "P"), _previous_statements(t))["valid"]
+    return financial.run_financial(_financial_input(t, True), _previous_statements(t))["valid"]
 
 
 @query("E3_errors", CHECKED + """
@@ -244,7 +244,7 @@ SELECT o_orderkey + 1 AS riga, 'cannot convert: ' || string_split(bad, ';')[1] A
        bad AS bad_columns
 FROM checked WHERE o_orderstatus = 'P' AND bad <> ''""")
 def _(t: Tables):
-    return financial.run_financial(_financial_input(t, "P"))["errors"]
+    return financial.run_financial(_financial_input(t, True))["errors"]
 
 
 # --- serving ----------------------------------------------------------------------

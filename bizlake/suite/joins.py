@@ -277,11 +277,11 @@ def _(t: Tables):
 @query("U1_union_by_name", """
 SELECT id, acronym, startDate, NULL AS frameworkProgramme FROM proj_raw WHERE frameworkProgramme = 'H2020'
 UNION ALL SELECT id, NULL, startDate, frameworkProgramme FROM proj_raw
-WHERE frameworkProgramme = 'HORIZON'""")
+WHERE frameworkProgramme IS DISTINCT FROM 'H2020'""")
 def _(t: Tables):
     raw = t.proj_raw
     first = raw.filter("frameworkProgramme = 'H2020'").drop("frameworkProgramme")
-    second = raw.filter("frameworkProgramme = 'HORIZON'").drop("acronym")
+    second = raw.filter("not frameworkProgramme <=> 'H2020'").drop("acronym")
     return first.unionByName(second, allowMissingColumns=True)
 
 

@@ -93,3 +93,26 @@ def test_decimal_commas(apply):
     assert apply(numbers, fn.double_with_comma, "double") == [
         "12,0", "0,25", "10000000,0", "-3,1", None, "1234567,89",
     ]
+
+
+def test_decimal_comma_keeps_every_digit(spark):
+    from pyspark.sql import functions as F
+
+    from bizlake.functions.amounts import double_with_comma
+
+    numbers = [0.1234567890123, 1e-13, 1e15, -2.5e-7, 1234567.891, 1.7976931348623157e308, 0.0, -12.0]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    texts = [r.t for r in df.select(double_with_comma(F.col("x")).alias("t")).collect()]
+    assert [float(t.replace(",", ".")) for t in texts] == numbers
+    assert not any("E" in t for t in texts)
+    assert texts[1] == "0," + "0" * 12 + "1" and texts[-1] == "-12,0"
+
+
+def test_delimiters_of_long_quoted_records(spark):
+    from pyspark.sql import functions as F
+
+    from bizlake.sources.delimited import count_delimiters
+
+    record = 'a;"' + 'x;""' * 250_000 + '";b'
+    df = spark.createDataFrame([(record,)], "r string")
+    assert df.select(count_delimiters(F.col("r"), ";").alias("n")).first().n == 2

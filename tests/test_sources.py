@@ -122,7 +122,7 @@ def test_manifest_and_archives(spark, tmp_path):
         archive.writestr("csv/webItem.csv", "id\n1\n")
     (tmp_path / "broken.zip").write_bytes(b"no archive")
     listed = files.list_files(spark, str(tmp_path), "*.zip")
-    manifest = {r.name: r for r in files.file_manifest(listed).collect()}
+    manifest = {r.name: r for r in files.file_manifest(spark, str(tmp_path), "*.zip").collect()}
     content = (tmp_path / "h.zip").read_bytes()
     assert manifest["h.zip"].sha256 == hashlib.sha256(content).hexdigest()
     assert manifest["h.zip"].md5 == hashlib.md5(content).hexdigest()
