@@ -228,10 +228,10 @@ class Cutter:
         parts = [self.APART.split(t) if self.CLOSE.search(t) else t.split(" ") for t in texts]
         heads = [self._matches(p[0]) for p in parts]
         for p in parts:
-            p[0] = ""  # stands for the head; blanks in a row leave no empty part
+            p[0] = None  # the head, which no blank precedes
         found = [list(map(cuts.get, p)) for p in parts]
         new = {c for p, ids in zip(parts, found) for c, x in zip(p, ids) if x is None}
-        new.discard("")
+        new.discard(None)
         matched = {c: self._matches(" " + c) for c in new}
         fresh = list({m for group in (matched.values(), heads) for ms in group for m in ms if m not in pieces})
         pieces.update(zip(fresh, self._encode(fresh)))

@@ -94,6 +94,8 @@ def mixtures(like: np.ndarray, doc: np.ndarray, docs: int, penalty: float = PENA
     ``like`` holds a row of relative log-likelihoods per word, ``doc`` its document.
     """
     langs = like.shape[1]
+    if not langs or not len(like):
+        return np.zeros((docs, langs))
     telling = (like < 0).any(axis=1)
     like, doc = like[telling], doc[telling]
     chance = np.exp(np.maximum(like, -60.0)).astype(np.float32)
