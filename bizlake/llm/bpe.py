@@ -226,22 +226,16 @@ class Cutter:
             self._pieces.clear()
         cuts, pieces = self._cuts, self._pieces
         parts = [self.APART.split(t) if self.CLOSE.search(t) else t.split(" ") for t in texts]
-        heads = [self._matches(p[0]) for p in parts]
-        for p in parts:
-            p[0] = None  # the head, which no blank precedes
-        found = [list(map(cuts.get, p)) for p in parts]
-        new = {c for p, ids in zip(parts, found) for c, x in zip(p, ids) if x is None}
-        new.discard(None)
-        matched = {c: self._matches(" " + c) for c in new}
+        # no blank precedes the first cut of a text
+        heads = [self._matches(p.pop(0)) for p in parts]
+        new = set().union(*parts).difference(cuts)
+        # letters alone are one match
+        matched = {c: [" " + c] if c.isalpha() else self._matches(" " + c) for c in new}
         fresh = list({m for group in (matched.values(), heads) for ms in group for m in ms if m not in pieces})
         pieces.update(zip(fresh, self._encode(fresh)))
-        made = {c: pieces[ms[0]] if len(ms) == 1 else b"".join([pieces[m] for m in ms]) for c, ms in matched.items()}
-        cuts.update(made)
-        out = []
-        for head, p, ids in zip(heads, parts, found):
-            ids[0] = b"".join([pieces[m] for m in head])
-            out.append(b"".join([x if x is not None else made[c] for c, x in zip(p, ids)]))
-        return out
+        for c, ms in matched.items():
+            cuts[c] = pieces[ms[0]] if len(ms) == 1 else b"".join([pieces[m] for m in ms])
+        return [b"".join([pieces[m] for m in head]) + b"".join(map(cuts.__getitem__, p)) for head, p in zip(heads, parts)]
 
 
 @lru_cache(maxsize=2)

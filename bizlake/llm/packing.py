@@ -16,6 +16,7 @@ packed once each; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -52,7 +53,7 @@ def _cutter(path: str, pattern: str) -> Cutter:
 
     def encode(pieces: list[str]) -> list[bytes]:
         return [
-            b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(p.encode().decode("latin1").translate(letters)))
+            array("I", [t.id for t in model.tokenize(p.encode().decode("latin1").translate(letters))]).tobytes()
             for p in pieces
         ]
 
