@@ -87,24 +87,30 @@ def nested_children(ranked: DataFrame, columns: list[str], into: str, key: str =
 
 def company_detail(
     headquarters: DataFrame, registry: DataFrame, financial: DataFrame, organization: DataFrame,
-    project: DataFrame, order: list[str], cf: str | None = None,
+    project: DataFrame, order: list[str], cf: str | None = None, shown: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Companies with their first registry rows and statements, and all their projects.
+    """Companies with their registry rows, statements and projects.
 
     ``cf`` asks for one company; without it the answer covers every company.
-    Children are flat rows with their ``place`` under the company.
+    ``shown`` keeps the first registry rows and statements only.  Children are
+    flat rows with their ``place`` under the company.
     """
     company = headquarters if cf is None else headquarters.filter(F.col("cf") == cf)
 
     def own(df: DataFrame) -> DataFrame:
         return keep_matching(df, company, "cf")
 
+    def placed(df: DataFrame, by: list[Column | str]) -> DataFrame:
+        if shown is None:
+            return number_in_group(df, ["cf"], by, "place")
+        return first_children(df, by, n=shown)
+
     acronyms = project.select("projectID", F.col("acronym").alias("project_acronym"))
     linked = join_by(own(organization), acronyms, ["projectID"])
     return {
         "company": company,
-        "registry": first_children(own(registry), order),
-        "financial": first_children(own(financial), [F.desc("anno"), "rea"]),
+        "registry": placed(own(registry), order),
+        "financial": placed(own(financial), [F.desc("anno"), "rea"]),
         "projects": number_in_group(
             linked, ["cf"], ["projectID", "organisationID", *order], "place"
         ),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config
 from ..plans import dashboards, participation
 from .base import Tables, query
 from .bindings import LINE_ORDER, LINE_ORDER_SQL
@@ -66,7 +67,7 @@ SELECT cf, 'project', CAST(row_number() OVER (PARTITION BY cf ORDER BY org.proje
        {LINE_ORDER_SQL}) AS BIGINT), acronym || '|' || name || '|' || role
 FROM org JOIN proj ON org.projectID = proj.projectID WHERE cf IN (SELECT cf FROM comp)""")
 def _(t: Tables):
-    found = dashboards.company_detail(t.comp, t.sites, t.fin, t.org, t.proj, LINE_ORDER)
+    found = dashboards.company_detail(t.comp, t.sites, t.fin, t.org, t.proj, LINE_ORDER, shown=config.CHILDREN_SHOWN)
 
     def section(key: str, name: str, *columns: str):
         return found[key].select(

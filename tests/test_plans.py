@@ -305,6 +305,23 @@ def test_details(tables):
     assert values(found["projects"], "place", "projectID") == [(1, "1"), (2, "2")]
 
 
+def test_details_keep_every_row_unless_told(tables):
+    financial = tables["financial"].filter("cf = 'A'").limit(1).selectExpr(
+        "*", "explode(sequence(1, 25)) as n"
+    ).selectExpr("* except (rea, n)", "cast(n as string) as rea")
+    organization = tables["organization"].selectExpr("*", "0 as row_id")
+
+    def statements(**options):
+        found = dashboards.company_detail(
+            tables["headquarters"], tables["registry"], financial, organization,
+            tables["project"], ["row_id"], cf="A", **options,
+        )
+        return sorted(r.place for r in found["financial"].collect())
+
+    assert statements() == list(range(1, 26))
+    assert statements(shown=10) == list(range(1, 11))
+
+
 def test_profile_types(spark):
     df = spark.createDataFrame(
         [("1", "1.5", "True", "x", None, "1"), ("2", "2", "False", "1", None, None)],
