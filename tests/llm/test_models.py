@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,20 @@ def test_scores_odd(odd):
     rows = scoring.score_texts(odd.withColumn("held", F.lit(False)), "held", path).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {1}
     assert scoring.score_texts(odd.limit(0).withColumn("held", F.lit(False)), "held", path).count() == 0
+
+
+def test_training_reaches_every_token(monkeypatch):
+    sizes = np.array([300_000, 0, 7, 40_000], dtype=np.int64)  # the last text is held out
+    text = np.arange(sizes.sum(), dtype=np.int32) % 50
+    docs = scoring._pack(np.arange(4), np.zeros(4, np.uint8), np.array([0, 0, 0, 1], np.uint8), sizes, text)
+    found = scoring._pack(np.arange(50, dtype=np.int32), np.full(50, 6_000), np.arange(50, dtype=np.int32), np.ones(50, np.uint8))
+    seen = Counter()
+
+    def train(self, windows, targets, real, rate, moments):
+        seen.update(targets[real].tolist())
+
+    monkeypatch.setattr(scoring.Attention, "train", train)
+    classes = scoring.Classes({k: (6_000, 1) for k in range(50)}, 3, 50)
+    run = scoring._training(None, classes, 0)
+    run(pa.table({"block": [0], "docs": [docs]}), pa.table({"block": [0], "found": [found]}))
+    assert seen == Counter(classes.of[text[:300_007]].tolist()) + Counter({0: 3})
