@@ -7,10 +7,10 @@ information over documents, as a share of the value's own information,
     log2(n(t, e) * N / (n(t) * n(e))) / log2(N / n(e)),
 
 1 for a term that stands nowhere without the value.  Terms are runs of letters
-within ``REACH`` characters of the value.  From ``GENERALISE`` on a term is put in
-general words, from ``REMOVE`` on it is taken out, if at least ``SUPPORT``
-different contexts show the pair.  Terms are marked where they stand next to the
-value.
+anywhere in a text but inside found values.  From ``GENERALISE`` on a term is put
+in general words, from ``REMOVE`` on it is taken out, if at least ``SUPPORT``
+different contexts (``REACH`` characters around the value) show the pair.  Terms
+are marked wherever they stand, in all texts.
 
 Everything is DataFrame and SQL functions.  Patterns are possessive and anchored
 so that they run in linear time and constant stack on any text; they find what
@@ -131,49 +131,66 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, value, context, term, start, end): letter runs around each value."""
-    each = found.filter(F.size("spans") > 0).select("doc_id", "text_hash", "text", F.explode("spans").alias("s"))
-    low = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    left = F.substring("text", low + 1, F.col("s.start") - low)
-    right = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
-    sides = each.select(
-        "doc_id", "text_hash", F.concat_ws(":", "s.kind", "s.value").alias("value"),
-        F.xxhash64(left, right).alias("context"),
-        F.explode(F.array(
-            F.struct(left.alias("part"), low.alias("from"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(right.alias("part"), F.col("s.end").alias("from"), F.lit(False).alias("cut_left"), (F.col("s.end") + REACH < F.length("text")).alias("cut_right")),
-        )).alias("side"),
-    )
-    runs = sides.withColumn("run", F.explode(matches(F.col("side.part"), LETTERS)))
-    whole = ~(F.col("side.cut_left") & (F.col("run.start") == 0)) & ~(F.col("side.cut_right") & (F.col("run.end") == F.length("side.part")))
-    return runs.filter(whole).select(
-        "doc_id", "text_hash", "value", "context", F.lower("run.value").alias("term"),
-        (F.col("side.from") + F.col("run.start")).alias("start"), (F.col("side.from") + F.col("run.end")).alias("end"),
-    )
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its spans."""
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        blank = F.repeat(F.lit(" "), span["end"] - F.greatest(state["at"], span["start"]))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap, blank).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def disclosures(contexts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, term, disclosure) of the pairs that reach ``GENERALISE``.
+def _words(text: Column) -> Column:
+    """Distinct letter runs of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower))
 
-    Pairs are counted over the contexts, terms over the letter runs of all texts.
+
+def _on_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on doc_id and text_hash; a null id equals a null id."""
+    right = right.withColumnsRenamed({"doc_id": "_of", "text_hash": "_of_text"})
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("text_hash") == F.col("_of_text"))
+    return left.join(right, same, how).drop("_of", "_of_text")
+
+
+def disclosures(found: DataFrame) -> DataFrame:
+    """(term, disclosure): the largest of each term that reaches ``GENERALISE`` for a value.
+
+    Pairs are counted over whole documents, terms over the letter runs of all texts.
     """
-    total = docs.count()
-    row = F.struct("doc_id", "text_hash")
-    pairs = contexts.groupBy("value", "term", "context", row.alias("row")).agg(F.lit(1).alias("one"))
-    pairs = pairs.groupBy("value", "term").agg(F.countDistinct("row").alias("n_pair"), F.countDistinct("context").alias("contexts"))
+    total = found.count()
+    each = found.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    places = each.select("doc_id", "text_hash", "text", F.explode("spans").alias("s"))
+    low = F.greatest(F.col("s.start") - REACH, F.lit(0))
+    left, right = F.substring("text", low + 1, F.col("s.start") - low), F.substring("text", F.col("s.end") + 1, F.lit(REACH))
+    told = places.select(
+        "doc_id", "text_hash", F.concat_ws(":", "s.kind", "s.value").alias("value"), F.xxhash64(left, right).alias("context")
+    )
+    told = settle(told.distinct(), "contexts")
+    values = told.groupBy("value").agg(
+        F.countDistinct(F.struct("doc_id", "text_hash")).alias("n_value"), F.countDistinct("context").alias("contexts")
+    )
+    # a pair has no more contexts than its value
+    values = settle(values.filter(F.col("contexts") >= SUPPORT).drop("contexts"), "values")
+    held = told.join(values.select("value"), "value").groupBy("doc_id", "text_hash", "value").agg(F.collect_set("context").alias("contexts"))
+    shown = _on_row(each.select("doc_id", "text_hash", _words(_blanked(F.col("text"), F.col("spans"))).alias("words")), held)
+    shown = shown.select("value", "contexts", F.explode("words").alias("term"))
+    shown = shown.select("value", "term", F.posexplode("contexts").alias("place", "context"))
+    pairs = shown.groupBy("value", "term", "context").agg(F.sum((F.col("place") == 0).cast("long")).alias("n"))
+    pairs = pairs.groupBy("value", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts"))
     pairs = settle(pairs.filter(F.col("contexts") >= SUPPORT), "pairs")
     if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit(0.0).alias("disclosure"))
-    values = contexts.groupBy("value").agg(F.countDistinct(row).alias("n_value"))
-    runs = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))))
-    terms = docs.select(runs.alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        return pairs.select("term", F.lit(0.0).alias("disclosure"))
+    terms = found.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     terms = terms.join(pairs.select("term").distinct(), "term", "left_semi")
     joined = pairs.join(values, "value").join(terms, "term")
     information = F.log2(F.lit(float(total)) / F.col("n_value"))
     shared = F.log2(F.col("n_pair") * float(total) / (F.col("n_term") * F.col("n_value")))
     scored = joined.withColumn("disclosure", F.when(information > 0, shared / information).otherwise(0.0))
-    return scored.filter(F.col("disclosure") >= GENERALISE).select("value", "term", "disclosure")
+    return scored.filter(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,19 +199,21 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A span is (start, order, kind, end, value); a term's value is its disclosure as text.
     One row per row of ``docs``.
     """
-    docs = keyed_text(docs, id_col, text_col)
-    found = docs.withColumn("spans", base_spans(F.col("text")))
-    # texts go on only where values were found
-    found = settle(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "found")
-    contexts = settle(_contexts(found), "contexts")
-    telling = contexts.join(disclosures(contexts, docs), ["value", "term"])
-    terms = telling.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("d"))
-    span = F.struct(
-        F.col("start"), F.lit(len(KINDS)).alias("order"), F.lit(TERM).alias("kind"), F.col("end"), F.col("d").cast("string").alias("value")
+    found = settle(keyed_text(docs, id_col, text_col).withColumn("spans", base_spans(F.col("text"))), "found")
+    telling = settle(disclosures(found), "telling")
+    words = found.select("doc_id", "text_hash", F.explode(_words(F.col("text"))).alias("term"))
+    known = words.join(telling, "term").groupBy("doc_id", "text_hash").agg(
+        F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("known")
     )
-    terms = terms.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.collect_list(span).alias("terms"))
-    joined = found.drop("text").join(terms, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")), "left")
-    return joined.select("doc_id", "text_hash", "spans", F.coalesce("terms", F.array().cast(joined.schema["spans"].dataType)).alias("terms"))
+    runs = matches(_blanked(F.col("text"), F.col("spans")), LETTERS)
+    runs = F.filter(runs, lambda r: F.map_contains_key("known", F.lower(r["value"])))
+    terms = F.transform(runs, lambda r: F.struct(
+        r["start"].alias("start"), F.lit(len(KINDS)).alias("order"), F.lit(TERM).alias("kind"), r["end"].alias("end"),
+        F.element_at("known", F.lower(r["value"])).cast("string").alias("value"),
+    ))
+    joined = _on_row(found, known, "left")
+    none = F.array().cast(found.schema["spans"].dataType)
+    return joined.select("doc_id", "text_hash", "spans", F.when(F.col("known").isNull(), none).otherwise(terms).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,6 +71,20 @@ def test_disclosing_terms(frame):
     assert [r.text for r in masked[len(told):]] == clean
 
 
+def test_disclosing_terms_far_from_the_value(frame):
+    far = " ".join(["nothing to hide here"] * 9)
+    told = [f"note {w} {far} Zyxwvu writes {far} to q@x.org from {w} {far} zyxwvu" for w in ("red", "blue", "green", "pink")]
+    clean = [f"note number {w} writes to {far} from home" for w in "abcdefghijklmnopqrstuvwx" * 40]
+    alone = "note that Zyxwvu writes to nobody"
+    docs = frame([*told, alone, *clean])
+    found = {r.doc_id: r for r in privacy.find_private(docs).collect()}
+    for k, text in enumerate([*told, alone]):
+        assert [text[s.start : s.end] for s in found[k].terms if text[s.start : s.end].lower() == "zyxwvu"] == re.findall("(?i)zyxwvu", text)
+    assert not any(found[k].terms for k in range(5, 5 + len(clean)))
+    masked = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert not any("zyxwvu" in masked[k].lower() for k in range(5)) and [masked[5 + k] for k in range(len(clean))] == clean
+
+
 def test_private_odd(odd):
     assert privacy.find_private(odd).count() == odd.count()
     assert privacy.sanitise(odd).columns == odd.columns and privacy.sanitise(odd.limit(0)).count() == 0
