@@ -32,6 +32,10 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _norm(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest: Callable[[Column], Column] = _sha256,
@@ -41,8 +45,7 @@ def exact_groups(
     ``digest`` may be any function of the text; a weak one costs time, not
     correctness.
     """
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _norm(text_col).alias("norm")).withColumn("digest", digest(F.col("norm")))
     salted = docs.groupBy("digest", (F.spark_partition_id() % SALTS).alias("salt"), "norm").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("n")
     )
@@ -77,6 +80,19 @@ FROM d
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the smallest id stays."""
-    kept = exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: of equal texts one row with the smallest id stays.
+
+    A null id equals a null id.  Rows are told by id and digest; where these
+    repeat, the rows' hashes settle which one stays.
+    """
+    kept = exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = settle(kept, "kept")
+    keyed = docs.withColumn("_digest", _sha256(_norm("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept"))
+    single = keyed.join(kept.filter("_n = 1"), same, "left_semi").select(docs.columns)
+    repeated = kept.filter("_n > 1")
+    if repeated.isEmpty():
+        return single
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    first = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_digest").agg(row)
+    return single.unionByName(first.select("row.*"))

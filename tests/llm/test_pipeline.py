@@ -20,3 +20,14 @@ def test_stages(spark, frame, tmp_path):
     assert 6 in sizes[-1] and not docs.filter("text like '%a@b.org%'").count()
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in packed}) == sizes[-1]
+
+
+def test_exact_stage_with_odd_ids(spark, odd, frame, tmp_path):
+    rows = corpus_pipeline.exact_dedup(spark, odd, str(tmp_path)).collect()
+    texts = sorted(" ".join(r.text.split()) if r.text else "" for r in rows)
+    want = {" ".join((r.text or "").split()) for r in odd.collect()}
+    assert set(texts) == want and [r.doc_id for r in rows if r.text and r.text.startswith("Ünï")] == [None]
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 2, 3, 4, 5, 7]
+    again = frame(["p q", "p  q", "p q", "r", "s"], [None, None, None, 1, 1])
+    rows = corpus_pipeline.exact_dedup(spark, again, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, " ".join(r.text.split())) for r in rows) == [(0, "p q"), (1, "r"), (1, "s")]
