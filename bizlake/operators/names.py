@@ -58,3 +58,9 @@ def join_names(
     return short.select(key, first_part.alias("part"), *lists).unionByName(
         long.select(key, "part", *lists)
     )
+
+
+def whole_cells(parts: DataFrame, key: str, lists: list[str]) -> DataFrame:
+    """One row per key, part 0, with all values of each list: the parts of ``join_names`` in order."""
+    whole = _joined(parts, [key], lists, ["part"])
+    return whole.select(key, F.lit(0).cast("bigint").alias("part"), *lists)

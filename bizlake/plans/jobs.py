@@ -75,7 +75,7 @@ def participation_job(
 ) -> None:
     """Folders of the two programmes and the filtered registry in, three tables out.
 
-    Name lists longer than a cell go on in ``further_names``.
+    Projects hold whole name lists; parts after the first are also in ``further_names``.
     """
     companies = read_delimited(spark, registry_path, "|", row_number=ROW)
     programmes = [read_programme(spark, first, False), read_programme(spark, second, True)]

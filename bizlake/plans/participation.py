@@ -13,7 +13,7 @@ from ..functions import (
 )
 from ..operators.dedup import keep_first
 from ..operators.joins import keep_matching, look_up
-from ..operators.names import join_names
+from ..operators.names import join_names, whole_cells
 from ..session import settle
 
 
@@ -67,13 +67,13 @@ def with_comma_amounts(organization: DataFrame) -> DataFrame:
 
 
 def add_names(project: DataFrame, lists: DataFrame) -> DataFrame:
-    """Add the first cell of each name list to projects keyed by ``id``."""
-    first = lists.filter("part = 0")
-    return look_up(project, first, "id", "projectID", list(LISTED_ROLES.values()))
+    """Add each whole name list as one cell to projects keyed by ``id``."""
+    columns = list(LISTED_ROLES.values())
+    return look_up(project, whole_cells(lists, "projectID", columns), "id", "projectID", columns)
 
 
 def further_names(lists: DataFrame) -> DataFrame:
-    """What does not fit the first cells: projectID, part and the lists."""
+    """Parts after the first of long lists, once more in rows of bounded size: projectID, part and the lists."""
     return lists.filter("part > 0")
 
 

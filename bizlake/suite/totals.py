@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import date_or_null, parse_amount, repair_shifted_year
 from ..operators.aggregates import count_by_flag, distinct_by_case, distinct_per_group, frequencies
 from ..operators.joins import look_up
-from ..operators.names import join_names
+from ..operators.names import join_names, whole_cells
 from ..operators.shares import top_rows, widths_of_shown
 from ..plans import dashboards, registry
 from .base import Tables, query
@@ -30,7 +30,8 @@ SELECT projectID, CAST(0 AS BIGINT) AS part, string_agg(name, ';' ORDER BY {LINE
 FROM org_raw WHERE role = 'participant' GROUP BY projectID""")
 def _(t: Tables):
     chosen = t.org_raw.filter("role = 'participant'")
-    return join_names(chosen, "projectID", {"participants": F.col("name")}, LINE_ORDER)
+    parts = join_names(chosen, "projectID", {"participants": F.col("name")}, LINE_ORDER)
+    return whole_cells(parts, "projectID", ["participants"])
 
 
 @query("A3_top_frequencies", """

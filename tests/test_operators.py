@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from bizlake.operators import aggregates, dedup, joins, names, order, shares
+from bizlake.plans import participation
 
 
 def rows(df, *columns):
@@ -53,6 +54,17 @@ def test_long_name_lists_continue_and_lose_nothing(spark):
     assert ("small", 0, "s") in listed
 
 
+def test_projects_hold_all_names_of_long_lists(spark):
+    people = [("big", f"n{i:04d}", "participant" if i % 2 else "coordinator", i) for i in range(1_000)]
+    df = spark.createDataFrame([*people, ("small", "s", "participant", 1)], "k string, v string, role string, n int")
+    values = {into: F.when(F.col("role") == role, F.col("v")) for role, into in participation.LISTED_ROLES.items()}
+    lists = names.join_names(df.withColumnRenamed("k", "projectID"), "projectID", values, ["n"], per_cell=64)
+    project = spark.createDataFrame([("big",), ("small",), ("none",)], "id string")
+    cells = {r.id: (r.coordinator, r.participants) for r in participation.add_names(project, lists).collect()}
+    listed = lambda start: ";".join(f"n{i:04d}" for i in range(start, 1_000, 2))
+    assert cells == {"big": (listed(0), listed(1)), "small": (None, "s"), "none": (None, None)}
+
+
 def test_first_row_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, 3), (1, 2), (2, 5)], "k int, v int")
     first = dedup.keep_first(df, ["k"], ["v"])
