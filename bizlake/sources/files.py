@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -117,18 +118,22 @@ def wanted_members(members: DataFrame, words: list[str] = WANTED_MEMBERS) -> Dat
 def unpack_members(members: DataFrame, target: str) -> DataFrame:
     """Unpack members below ``target``, one task per member; adds ``unpacked`` (the path).
 
-    A member whose name leads out of its folder stops the job.  A member appears under its name only when complete, so a repeated task
-    replaces it with the same content.
+    Members go to a folder named as their archive; archives of the same name are
+    told apart by a digest of their paths.  A member whose name leads out of its
+    folder stops the job.  A member appears under its name only when complete, so
+    a repeated task replaces it with the same content.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             written = []
-            for path, member in zip(batch["path"], batch["member"]):
+            for path, member, shared in zip(batch["path"], batch["member"], batch["_shared"]):
                 if member.startswith(("/", "\\")) or ".." in member.replace("\\", "/").split("/"):
                     raise ValueError(f"{path}: member {member!r} would be written outside its folder")
                 fs, inner = _open(path)
                 stem = inner.rsplit("/", 1)[-1].removesuffix(".zip")
+                if shared:
+                    stem = f"{stem}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
                 goal = f"{target}/{stem}/{member}"
                 out_fs, out_path = _open(goal)
                 out_fs.create_dir(out_path.rsplit("/", 1)[0], recursive=True)
@@ -143,7 +148,10 @@ def unpack_members(members: DataFrame, target: str) -> DataFrame:
                         sink.write(chunk)
                 out_fs.move(part, out_path)
                 written.append(goal)
-            yield batch.assign(unpacked=written)
+            yield batch.drop(columns=["_name", "_shared"]).assign(unpacked=written)
 
-    spread = members.repartition("path", "member")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.zip$", "").alias("_name")
+    names = members.select("path", name).distinct().groupBy("_name").agg((F.count("*") > 1).alias("_shared"))
+    named = members.select("*", name).join(names, "_name").select(*members.columns, "_name", "_shared")
+    spread = named.repartition("path", "member")
     return spread.mapInPandas(unpack, _extended(members, "unpacked string"))

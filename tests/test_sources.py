@@ -134,6 +134,17 @@ def test_manifest_and_archives(spark, tmp_path):
     assert (tmp_path / "out/h/csv/project.csv").read_text() == "id;a\n1;x\n"
 
 
+def test_archives_of_one_name_are_kept_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        with zipfile.ZipFile(tmp_path / folder / "h.zip", "w") as archive:
+            archive.writestr("csv/project.csv", folder)
+    paths = spark.createDataFrame([(str(tmp_path / folder / "h.zip"),) for folder in ("a", "b")], "path string")
+    unpacked = files.unpack_members(files.archive_members(paths), str(tmp_path / "out")).collect()
+    assert len({r.unpacked for r in unpacked}) == 2
+    assert sorted(p.read_text() for p in (tmp_path / "out").glob("*/csv/project.csv")) == ["a", "b"]
+
+
 def test_crosswalk_files(spark, tmp_path):
     flat = tmp_path / "flat.json"
     flat.write_text(json.dumps({"_crosswalk": {"rea": {"uri": "u:rea", "type": "string"}}}))
