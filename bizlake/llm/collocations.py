@@ -7,12 +7,12 @@ that share a first word, first two words and so on, and gives the counts of
 all shorter phrases, since every occurrence of a phrase is the start of exactly
 one window.
 
-A phrase cannot be more frequent than its words or pairs of words.  Two earlier
-passes by the same windows, one word wide and then two, find those with enough
-occurrences; windows of the last pass end before the first word or pair that has
-too few, and so mostly fall together within a task.  The frequent words and pairs
-travel as a bit field of fixed size: a foreign word that meets a set bit only
-costs a window that the counts drop later.
+A phrase cannot be more frequent than the phrases inside it.  Earlier passes count
+single words, pairs and triples by 64-bit hashes alone, each where the one before
+found enough; windows of the last pass end before the first word, pair or triple
+that has too few, and so mostly fall together within a task.  What is frequent
+travels as a bit field of fixed size.  Texts whose hashes or bits meet only make a
+window longer than need be, whose exact count drops it later.
 
 Cuts are scored in decimals of 38 digits: 1000 times a count times a corpus's
 words must stay below 10^38, and a product of two counts too.
@@ -47,7 +47,9 @@ TOP = 2000
 #: A candidate goes when a longer one around it has this percent of its occurrences.
 COVER_PERCENT = 100
 
-#: Bits of the field that knows frequent words or pairs; 4 MB whatever the corpus.
+#: Words of the widest phrases that are counted by hashes first.
+SIEVES = 3
+#: Bits of the field that knows frequent hashes; 4 MB whatever the corpus.
 SIEVE_BITS = 1 << 25
 #: Bits in one row while the field is put together; fixed by ``bitmap_construct_agg``.
 BITMAP_BITS = 1 << 15
@@ -68,22 +70,15 @@ def _columns(width: int) -> list[str]:
     return [f"w{k + 1}" for k in range(width)]
 
 
-def sieve_place(*hashes: np.ndarray) -> np.ndarray:
-    """Bit of a lang and the words after it, from their hashes."""
-    at = np.zeros(1, dtype=np.uint64)
-    for h in hashes:
-        at = mix(at * STRIDE + h)
-    return (at % np.uint64(SIEVE_BITS)).astype(np.int64)
+def _hashes(values: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values), dtype=np.uint64)
 
 
-def _holds(sieve: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _holds(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
     return (sieve[place >> 3] >> (place & 7).astype(np.uint8) & 1) > 0
 
 
-def _hashes(values: Iterable[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values), dtype=np.uint64)
-
-
 def _slices(text: bytes) -> Iterator[bytes]:
     """A text cut after breaks, so that no piece is cut."""
     at = 0
@@ -132,30 +127,45 @@ class Words:
         coded = pc.dictionary_encode(column)
         self.id = coded.indices.to_numpy().astype(np.int64)
         self.values = coded.dictionary.to_pylist()
+        langs_hashed = _hashes(name.encode() for name in self.langs)
+        self.hash = mix(langs_hashed[self.lang] * STRIDE + _hashes(self.values)[self.id])
 
-    def windows(self, width: int, sieves: list[np.ndarray]) -> np.ndarray:
-        """A row per word: lang, then ids plus one of its window, 0 beyond the end.
+    def runs(self, sieves: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Per width the starts of runs whose inner runs are all frequent, as far as ``sieves`` tell.
 
-        ``sieves`` know the frequent words, and the frequent pairs if there are two.
+        Also, for runs of one word more than there are sieves, those that may be
+        frequent, and their hashes.
         """
         n = len(self.id)
+        hashes, frequent = self.hash, []
+        may_be = np.ones(n, dtype=bool)
+        for width, sieve in enumerate(sieves, 1):
+            frequent.append(may_be & _holds(sieve, hashes))
+            may_be = frequent[-1][:-1] & frequent[-1][1:]
+            if width == 1:
+                may_be &= self.piece[1:] == self.piece[:-1]
+            hashes = mix(hashes[:-1] * STRIDE + self.hash[width:])
+        return frequent, may_be, hashes
+
+    def hash_counts(self, sieves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and numbers of the runs one word wider than ``sieves`` know."""
+        _, may_be, hashes = self.runs(sieves)
+        return np.unique(hashes[may_be], return_counts=True)
+
+    def windows(self, width: int, sieves: list[np.ndarray]) -> np.ndarray:
+        """A row per frequent word: lang, then ids plus one of its window, 0 beyond the end."""
+        n = len(self.id)
+        frequent, _, _ = self.runs(sieves)
         table = np.zeros((n, width + 1), dtype=np.int64)
         table[:, 0], table[:, 1] = self.lang, self.id + 1
-        starts = np.ones(n, dtype=bool)  # whether a window may start here
-        follows = np.zeros(n, dtype=bool)  # whether a window with this word may go on to the next
-        follows[:-1] = self.piece[1:] == self.piece[:-1]
-        if sieves:
-            hashes, langs = _hashes(self.values)[self.id], _hashes(x.encode() for x in self.langs)[self.lang]
-            starts = _holds(sieves[0], sieve_place(langs, hashes))
-            follows[:-1] &= starts[1:]
-        if len(sieves) > 1:
-            follows[:-1] &= _holds(sieves[1], sieve_place(langs[:-1], hashes[:-1], hashes[1:]))
-        goes_on = starts
+        goes_on = frequent[0]
         for k in range(1, min(width, n)):
-            goes_on = goes_on[:-1] & follows[k - 1 : n - 1]
+            inner = min(k + 1, len(frequent))  # the widest known run that ends with this word
+            ends = frequent[inner - 1][k + 1 - inner :]
+            goes_on = goes_on[: len(ends)] & ends[: len(goes_on)]
             rows = np.flatnonzero(goes_on)
             table[rows, k + 1] = self.id[rows + k] + 1
-        return table[starts]
+        return table[frequent[0]]
 
 
 def _combined(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,39 +177,47 @@ def _combined(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[first], counts
 
 
+def _fields(sieves: list[Broadcast]) -> list[np.ndarray]:
+    return [np.frombuffer(sieve.value, dtype=np.uint8) for sieve in sieves]
+
+
+def _hash_counts(batches, sieves: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("f", pa.int64())])
+    for langs, texts in _loads(batches):
+        words = Words(langs, texts)
+        hashes, counts = words.hash_counts(_fields(sieves))
+        yield as_batch({"lang": pa.nulls(len(hashes), pa.string()), "h": hashes.view(np.int64), "f": counts}, schema)
+        if not sieves:  # all words of each lang, told by their missing hash
+            yield as_batch({"lang": words.langs, "h": pa.nulls(len(words.langs), pa.int64()), "f": np.bincount(words.lang, minlength=len(words.langs))}, schema)
+
+
+def hash_counts(texts: DataFrame, sieves: list[Broadcast]) -> DataFrame:
+    """(lang, h, f): numbers of runs by hash; words by lang where the hash is null."""
+    counts = texts.mapInArrow(lambda batches: _hash_counts(batches, sieves), "lang string, h long, f long")
+    return counts.groupBy("lang", "h").agg(F.sum("f").alias("f"))
+
+
 def _window_counts(batches, width: int, sieves: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), *((c, pa.string()) for c in _columns(width)), ("f", pa.int64())])
-    fields = [np.frombuffer(sieve.value, dtype=np.uint8) for sieve in sieves]
     for langs, texts in _loads(batches):
         words = Words(langs, texts)
-        if not len(words.id):
-            continue
-        rows, counts = _combined(words.windows(width, fields))
+        rows, counts = _combined(words.windows(width, _fields(sieves)))
         spelled = pa.array([b"", *words.values], type=pa.binary()).cast(pa.string())
         columns = {"lang": pa.array(words.langs, pa.string()).take(pa.array(rows[:, 0])), "f": counts}
         columns |= {c: spelled.take(pa.array(rows[:, k + 1])) for k, c in enumerate(_columns(width))}
         yield as_batch(columns, schema)
 
 
-def window_counts(texts: DataFrame, width: int, *sieves: Broadcast) -> DataFrame:
+def window_counts(texts: DataFrame, width: int, sieves: list[Broadcast]) -> DataFrame:
     """(lang, w1 .., f): windows of (lang, text) rows, combined within chunks of a task only."""
     schema = ", ".join(["lang string", *(f"{c} string" for c in _columns(width)), "f long"])
-    return texts.mapInArrow(lambda batches: _window_counts(batches, width, list(sieves)), schema)
-
+    return texts.mapInArrow(lambda batches: _window_counts(batches, width, sieves), schema)
 
-def _places(batches, width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        named = [batch.column(c).to_pylist() for c in ("lang", *_columns(width))]
-        at = sieve_place(*(_hashes(x.encode() for x in column) for column in named))
-        yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
 
-
-def sieve_of(frequent: DataFrame, width: int) -> Broadcast:
-    """The bit field of (lang, w1 ..) rows; at most SIEVE_BITS / 8 bytes reach the driver."""
-    places = frequent.select("lang", *_columns(width)).mapInArrow(lambda b: _places(b, width), "place long")
-    rows = places.groupBy((F.col("place") / BITMAP_BITS).cast("int").alias("block")).agg(
-        F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits")
-    )
+def sieve_of(frequent: DataFrame) -> Broadcast:
+    """The bit field of the hashes ``h``; at most SIEVE_BITS / 8 bytes reach the driver."""
+    place = F.col("h").bitwiseAND(SIEVE_BITS - 1)
+    rows = frequent.groupBy((place / BITMAP_BITS).cast("int").alias("block")).agg(F.bitmap_construct_agg(place % BITMAP_BITS).alias("bits"))
     field = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
     step = BITMAP_BITS // 8
     for row in rows.collect():
@@ -210,13 +228,15 @@ def sieve_of(frequent: DataFrame, width: int) -> Broadcast:
 def phrase_counts(texts: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases with enough occurrences, and (lang, n)."""
     frequent = F.col("f") >= min_count
-    words = settle(window_counts(texts, 1).groupBy("lang", "w1").agg(F.sum("f").alias("f")), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    word_sieve = sieve_of(words.filter(frequent), 1)
-    pairs = window_counts(texts, 2, word_sieve).filter("w2 <> ''")
-    pairs = settle(pairs.groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f")).filter(frequent), "pairs")
+    sieves: list[Broadcast] = []
+    totals = None
+    for _ in range(SIEVES):
+        found = settle(hash_counts(texts, sieves).filter(frequent | F.col("h").isNull()), "frequent")
+        if totals is None:
+            totals = found.filter("h is null").select("lang", F.col("f").alias("n"))
+        sieves.append(sieve_of(found.filter("h is not null")))
     columns = _columns(longest)
-    windows = window_counts(texts, longest, word_sieve, sieve_of(pairs, 2))
+    windows = window_counts(texts, longest, sieves)
     rolled = windows.rollup("lang", *columns).agg(F.sum("f").alias("f"), F.grouping_id().alias("level")).filter(frequent)
     # a level that sums over all but the first k words is a phrase of k words unless the last of these is padding
     width = longest - F.log2(F.col("level") + 1).cast("int")
