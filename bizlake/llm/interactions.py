@@ -13,8 +13,8 @@ least ids per digest of the text, joined back to thin rows, so a hot text is
 summed before it moves and its rows can be split.
 
 Defined cases: a null text counts as empty and a null part as the empty string;
-no words, or no characters, fail neither share rule; a null id neither is nor makes a
-repeat; rows that repeat an id and a text are not repeats of each other; of
+no words, or no characters, fail neither share rule; a null id has no labels, is no repeat and makes none;
+rows that repeat an id and a text are not repeats of each other; of
 several labels of a document the highest counts; an empty table has no parts and
 no rows.  Columns other than the named ones may have any name.
 """
