@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import null_when_token
 from ..operators.order import land, number_in_file_order
-from ..session import settle, spread
+from ..session import settle
+from .records import number_records, read_records
 from .workbooks import read_sheet
 
 
@@ -18,6 +19,10 @@ class MissingColumnsError(ValueError):
     """A table lacks columns a step needs."""
 
 
+class HeaderError(ValueError):
+    """Files read as one table have different headers."""
+
+
 def _reader(spark: SparkSession, sep: str, multi_line: bool):
     return (
         spark.read.option("sep", sep)
@@ -49,20 +54,39 @@ def read_delimited(
     ``blanks`` is ``"null"`` to turn blank cells and missing-value words into
     null, or ``"keep"`` to keep all text and read blank cells as ``''``.
     ``row_number`` adds the 1-based position in file order under that name.
-    ``multi_line`` allows line breaks inside quotes; each file is then parsed by
-    one task and its rows spread after that, so turn it off for large files
-    that have none.
+    ``multi_line`` allows line breaks inside quotes; files are read by as many
+    tasks as they have splits either way.  All files of a folder must have the
+    same header.
     """
     names = columns or header_columns(spark, path, sep, multi_line)
+    if multi_line:
+        records = read_records(spark, path, sep)
+        _same_headers(records)
+        rows = number_records(records, row_number) if row_number else records.filter(~F.col("_header"))
+        return _with_blanks(_parsed(rows, names, sep, [row_number] if row_number else []), names, blanks)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     scan = _reader(spark, sep, multi_line).schema(schema).csv(path)
     if row_number:
         scan = number_in_file_order(land(scan), row_number)
-    elif multi_line:
-        scan = spread(scan)
     return _with_blanks(scan, names, blanks)
 
 
+def _parsed(records: DataFrame, names: list[str], sep: str, keep: list[str]) -> DataFrame:
+    """The cells of each record under ``names``, then the columns to keep."""
+    ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    options = {"sep": sep, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_broken"}
+    cells = records.select(F.from_csv("record", ddl, options).alias("_cells"), *keep)
+    return cells.select("_cells.*", *keep)
+
+
+def _same_headers(records: DataFrame) -> None:
+    """Stop where two files have different headers."""
+    clean = F.regexp_replace("record", "\ufeff", "")
+    headers = records.filter("_header").groupBy(clean.alias("record")).agg(F.min("_file").alias("file")).limit(2).collect()
+    if len(headers) > 1:
+        raise HeaderError(f"different headers in {headers[0].file} and {headers[1].file}")
+
+
 def read_skipping_long_lines(
     spark: SparkSession,
     path: str,
@@ -75,17 +99,21 @@ def read_skipping_long_lines(
     Records with too few fields stay, padded with null.
     """
     names = header_columns(spark, path, sep, multi_line)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_broken"]])
-    scan = (
-        _reader(spark, sep, multi_line)
-        .schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken")
-        .csv(path)
-    )
-    landed = land(scan) if row_number else settle(scan, "landed")
-    if row_number:
-        landed = number_in_file_order(landed, row_number)
+    if multi_line:
+        records = read_records(spark, path, sep)
+        _same_headers(records)
+        rows = number_records(records, row_number) if row_number else records.filter(~F.col("_header"))
+        landed = _parsed(rows, [*names, "_broken"], sep, [row_number] if row_number else [])
+    else:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_broken"]])
+        scan = (
+            _reader(spark, sep, multi_line)
+            .schema(schema)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_broken")
+            .csv(path)
+        )
+        landed = number_in_file_order(land(scan), row_number) if row_number else settle(scan, "landed")
     kept = landed.filter(
         F.col("_broken").isNull() | (count_delimiters(F.col("_broken"), sep) < len(names))
     ).drop("_broken")
