@@ -14,6 +14,7 @@ from ..sources.delimited import read_delimited, read_skipping_long_lines
 from ..sources.sinks import with_decimal_commas, write_delimited
 from ..sources.workbooks import read_workbook
 from . import financial, participation, registry, serving
+from .loading import Load, missing_path
 
 # fixed values: how snapshot files are named
 MONTHLY_WORKBOOK = r"imprese_[a-z]+_(\d{2})_(\d{4})\.xlsx"
@@ -45,7 +46,7 @@ def registry_job(
     """
     listed = files.list_files(spark, folder, "*.xlsx")
     found = _chosen(files.latest_monthly(listed, MONTHLY_WORKBOOK, today.year, today.month), folder)
-    sheets = read_workbook(spark, f"{folder}/{found.name}", config.WORKBOOK_SHEETS, ROW)
+    sheets = read_workbook(spark, found.path, config.WORKBOOK_SHEETS, ROW)
     sites, codes = (
         sheets[s].withColumnsRenamed((renames or {}).get(s, {})) for s in config.WORKBOOK_SHEETS
     )
@@ -91,7 +92,7 @@ def _previous(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return read_delimited(spark, path, "|", blanks="keep").withColumnsRenamed(names)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
+        if missing_path(error):
             return None
         raise  # an earlier output that can't be read must not be replaced
 
@@ -104,7 +105,7 @@ def financial_job(spark: SparkSession, folder: str, target: str, year: int) -> N
     """
     listed = files.list_files(spark, folder, "*.csv")
     found = _chosen(files.latest_yearly(listed, YEARLY_STATEMENTS, year), folder)
-    raw = read_delimited(spark, f"{folder}/{found.name}", ";", blanks="keep", row_number=ROW)
+    raw = read_delimited(spark, found.path, ";", blanks="keep", row_number=ROW)
     path = f"{target}/financial.csv"
     out = financial.run_financial(raw, _previous(spark, path))
     names = [config.FINANCIAL_FILE_NAMES[c] for c in config.FINANCIAL_COLUMNS]
@@ -113,10 +114,12 @@ def financial_job(spark: SparkSession, folder: str, target: str, year: int) -> N
     write_delimited(out["errors"], f"{target}/financial_errors.csv")
 
 
-def serving_job(spark: SparkSession, sources: dict[str, str]) -> dict[str, DataFrame]:
-    """Paths of the six exports in, serving tables and load counts out.
+def serving_job(spark: SparkSession, sources: dict[str, str], root: str) -> Load:
+    """Paths of the six exports in; the serving tables loaded under ``root`` and published.
 
     Keys: headquarters, registry, financial, project, organization, topics.
+    Readers ask :func:`loading.published_tables`; until the last step, and after
+    any error, they get the load before.
     """
     tables = {
         name: read_delimited(spark, path, "|", blanks="keep", row_number=ROW)
@@ -124,4 +127,7 @@ def serving_job(spark: SparkSession, sources: dict[str, str]) -> dict[str, DataF
     }
     names = {name: column for column, name in config.FINANCIAL_FILE_NAMES.items()}
     tables["financial"] = tables["financial"].withColumnsRenamed(names)
-    return serving.build_serving(tables)
+    load = serving.load_serving(tables, root, ROW)
+    load.check("headquarters", "project")
+    load.publish()
+    return load

@@ -8,7 +8,9 @@ from .. import config
 from ..functions import trim_or_empty
 from ..operators.dedup import keep_first
 from ..operators.joins import split_by_parent
-from ..sources.sinks import replace_table
+from .loading import Load
+
+TABLES = ["headquarters", "registry", "project", "financial", "organization", "topics"]
 
 
 def serving_columns(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
@@ -54,52 +56,54 @@ def accepted(children: DataFrame) -> DataFrame:
     return children.filter("has_parent").drop("has_parent")
 
 
-def load_counts(children: dict[str, DataFrame]) -> DataFrame:
-    """Loaded and skipped rows per child table, one aggregate each."""
-    counts = [
-        df.agg(
-            F.count_if("has_parent").alias("loaded"),
-            F.count_if(~F.col("has_parent")).alias("skipped"),
-        ).select(F.lit(name).alias("table_name"), "loaded", "skipped")
-        for name, df in children.items()
-    ]
-    merged = counts[0]
-    for more in counts[1:]:
-        merged = merged.unionByName(more)
-    return merged
-
-
 def organization_children(df: DataFrame, project: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Organisations with ``has_parent``; a blank tax code is null."""
     rows = load_children(df, config.ORGANIZATION_COLUMNS, project, "projectID", keep)
     return rows.withColumn("cf", F.nullif("cf", F.lit("")))
 
 
+def children_of(
+    sources: dict[str, DataFrame], headquarters: DataFrame, project: DataFrame
+) -> dict[str, DataFrame]:
+    """The three child tables, each row with ``has_parent``."""
+    return {
+        "financial": load_children(sources["financial"], config.FINANCIAL_COLUMNS, headquarters, "cf"),
+        "organization": organization_children(sources["organization"], project),
+        "topics": load_children(sources["topics"], config.TOPIC_COLUMNS, project, "projectID"),
+    }
+
+
 def build_serving(sources: dict[str, DataFrame], row_id: str = "row_id") -> dict[str, DataFrame]:
-    """Six serving tables and ``load_counts`` from the six exports.
+    """Six serving tables from the six exports, as plans.
 
     Expects headquarters, registry, financial, project, organization and
     topics, each with ``row_id``.
     """
     headquarters = load_headquarters(sources["headquarters"], [row_id])
     project = load_projects(sources["project"], [row_id])
-    children = {
-        "financial": load_children(
-            sources["financial"], config.FINANCIAL_COLUMNS, headquarters, "cf"
-        ),
-        "organization": organization_children(sources["organization"], project),
-        "topics": load_children(sources["topics"], config.TOPIC_COLUMNS, project, "projectID"),
-    }
+    children = children_of(sources, headquarters, project)
     return {
         "headquarters": headquarters,
         "registry": load_registry(sources["registry"], row_id),
         "project": project,
         **{name: accepted(rows) for name, rows in children.items()},
-        "load_counts": load_counts(children),
     }
 
 
-def save_serving(tables: dict[str, DataFrame], database: str | None = None) -> None:
-    """Replace every serving table in the catalogue."""
-    for name, df in tables.items():
-        replace_table(df, f"{database}.{name}" if database else name)
+def load_serving(
+    sources: dict[str, DataFrame], root: str, row_id: str = "row_id", tables: list[str] = TABLES
+) -> Load:
+    """Write the serving tables as one load, not yet published.
+
+    Parents are written first; their children are matched with them as they
+    were written, so no parent is computed twice.
+    """
+    load = Load(sources["headquarters"].sparkSession, root)
+    headquarters = load.add("headquarters", load_headquarters(sources["headquarters"], [row_id]))
+    project = load.add("project", load_projects(sources["project"], [row_id]))
+    if "registry" in tables:
+        load.add("registry", load_registry(sources["registry"], row_id).drop(row_id))
+    for name, rows in children_of(sources, headquarters, project).items():
+        if name in tables:
+            load.add(name, rows)
+    return load

@@ -34,32 +34,32 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", content: bo
     )
 
 
+def _best(dated: DataFrame, found: list[str], age) -> DataFrame:
+    """The row of the greatest age; equal ages are settled by the other columns."""
+    best = dated.agg(F.max_by(F.struct(*found), F.struct(age.alias("age"), *found)).alias("best"))
+    return best.filter("best is not null").select("best.*")
+
+
 def latest_monthly(files: DataFrame, pattern: str, year: int, month: int) -> DataFrame:
     """The newest monthly file not after (year, month), or the newest of all.
 
     ``pattern`` captures the month, then the year, from the file name.  One
-    row: name, snapshot (``MM_YYYY``); no row when nothing matches.
+    row: the columns of ``files`` and snapshot (``MM_YYYY``); no row when
+    nothing matches.
     """
     mm = F.regexp_extract("name", pattern, 1)
     yyyy = F.regexp_extract("name", pattern, 2)
     number = yyyy.cast("int") * 12 + mm.cast("int")
-    dated = files.filter(F.col("name").rlike(f"^{pattern}")).select(
-        "name",
-        F.concat_ws("_", mm, yyyy).alias("snapshot"),
-        F.struct((number <= year * 12 + month).alias("due"), number.alias("at")).alias("_age"),
-    )
-    best = dated.agg(F.max_by(F.struct("name", "snapshot"), "_age").alias("best"))
-    return best.filter("best is not null").select("best.*")
+    dated = files.filter(F.col("name").rlike(f"^{pattern}")).withColumn("snapshot", F.concat_ws("_", mm, yyyy))
+    age = F.struct((number <= year * 12 + month).alias("due"), number.alias("at"))
+    return _best(dated, [*files.columns, "snapshot"], age)
 
 
 def latest_yearly(files: DataFrame, pattern: str, year: int) -> DataFrame:
-    """The newest yearly file not after ``year``: name, year; no row when none is due."""
+    """The newest yearly file not after ``year``, with its year; no row when none is due."""
     yyyy = F.regexp_extract("name", pattern, 1).cast("int")
-    dated = files.filter(F.col("name").rlike(f"^{pattern}")).select("name", yyyy.alias("year"))
-    best = dated.filter(F.col("year") <= year).agg(
-        F.max_by(F.struct("name", "year"), "year").alias("best")
-    )
-    return best.filter("best is not null").select("best.*")
+    dated = files.filter(F.col("name").rlike(f"^{pattern}")).withColumn("year", yyyy)
+    return _best(dated.filter(F.col("year") <= year), [*files.columns, "year"], F.col("year"))
 
 
 def latest_modified(files: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..operators.order import number_rows
 from ..plans import financial, participation, registry, serving
+from ..plans.loading import published_tables
 from ..session import fresh_path
 from ..sources.delimited import read_delimited
 from ..sources.sinks import with_decimal_commas, write_delimited
@@ -248,22 +251,39 @@ def _(t: Tables):
 
 
 # --- serving ----------------------------------------------------------------------
-def _run_serving(t: Tables) -> dict[str, DataFrame]:
+#: Children without a parent: their key is no key of the parent table.
+ORPHANS = {
+    "fin": ("cf", "CASE WHEN anno = '1995' THEN 'X' || cf ELSE cf END"),
+    "org": ("projectID", "CASE WHEN role = 'thirdParty' THEN 'X' || projectID ELSE projectID END"),
+    "voc": ("projectID", "CASE WHEN euroSciVocTitle = '' THEN 'X' || projectID ELSE projectID END"),
+}
+
+
+def _with_orphans(t: Tables, name: str) -> DataFrame:
+    key, value = ORPHANS[name]
+    return getattr(t, name).withColumn(key, F.expr(value))
+
+
+def _serving_sources(t: Tables) -> dict[str, DataFrame]:
     line = F.struct(*LINE_ORDER).alias("row_id")
-    return serving.build_serving({
-        "headquarters": t.comp.filter("prov <> 'NA'"),
+    return {
+        "headquarters": t.comp,
         "registry": t.sites.select("*", line),
-        "financial": t.fin,
-        "project": t.proj.filter("frameworkProgramme <> 'OTHER'").withColumn("row_id", F.lit(1)),
-        "organization": t.org.select("*", line),
-        "topics": t.voc.select("*", line),
-    })
+        "financial": _with_orphans(t, "fin"),
+        "project": t.proj.withColumn("row_id", F.lit(1)),
+        "organization": _with_orphans(t, "org").select("*", line),
+        "topics": _with_orphans(t, "voc").select("*", line),
+    }
 
 
-E4 = """
-WITH hq AS (SELECT cf FROM comp WHERE prov <> 'NA'),
-     pr AS (SELECT * FROM proj WHERE frameworkProgramme <> 'OTHER')
-"""
+def _run_serving(t: Tables) -> dict[str, DataFrame]:
+    return serving.build_serving(_serving_sources(t))
+
+
+E4 = "WITH hq AS (SELECT cf FROM comp), pr AS (SELECT * FROM proj),\n" + ",\n".join(
+    f"{name}_load AS (SELECT * REPLACE ({value} AS {key}) FROM {name})"
+    for name, (key, value) in ORPHANS.items()
+) + "\n"
 
 
 def _texts(columns: list[str], present: str, null: str = "") -> str:
@@ -277,18 +297,45 @@ def _texts(columns: list[str], present: str, null: str = "") -> str:
 
 @query("E4_load_counts", E4 + """
 SELECT 'financial' AS table_name, count(*) FILTER (cf IN (SELECT cf FROM hq)) AS loaded,
-       count(*) FILTER (cf NOT IN (SELECT cf FROM hq)) AS skipped FROM fin
+       count(*) FILTER (cf NOT IN (SELECT cf FROM hq)) AS skipped FROM fin_load
 UNION ALL SELECT 'organization', count(*) FILTER (projectID IN (SELECT projectID FROM pr)),
-       count(*) FILTER (projectID NOT IN (SELECT projectID FROM pr)) FROM org
+       count(*) FILTER (projectID NOT IN (SELECT projectID FROM pr)) FROM org_load
 UNION ALL SELECT 'topics', count(*) FILTER (projectID IN (SELECT projectID FROM pr)),
-       count(*) FILTER (projectID NOT IN (SELECT projectID FROM pr)) FROM voc""")
+       count(*) FILTER (projectID NOT IN (SELECT projectID FROM pr)) FROM voc_load""")
+def _(t: Tables):
+    """Counted while the child tables are written."""
+    children = ["financial", "organization", "topics"]
+    load = serving.load_serving(_serving_sources(t), fresh_path(t.spark, "serving"), tables=children)
+    return load.report(*children)
+
+
+@query("E4_published_tables", E4 + """
+SELECT 'headquarters' AS table_name, count(*) AS n_rows, count(DISTINCT cf) AS n_keys FROM hq
+UNION ALL SELECT 'registry', count(*), count(DISTINCT cf) FROM sites
+UNION ALL SELECT 'project', count(*), count(DISTINCT projectID) FROM pr
+UNION ALL SELECT 'financial', count(*), count(DISTINCT cf) FROM fin_load WHERE cf IN (SELECT cf FROM hq)
+UNION ALL SELECT 'organization', count(*), count(DISTINCT projectID) FROM org_load
+          WHERE projectID IN (SELECT projectID FROM pr)
+UNION ALL SELECT 'topics', count(*), count(DISTINCT projectID) FROM voc_load
+          WHERE projectID IN (SELECT projectID FROM pr)""")
 def _(t: Tables):
-    return _run_serving(t)["load_counts"]
+    """All six tables loaded, published and read as a reader finds them."""
+    root = fresh_path(t.spark, "serving")
+    load = serving.load_serving(_serving_sources(t), root)
+    load.check("headquarters", "project")
+    load.publish()
+    found = published_tables(t.spark, root, serving.TABLES)
+    sizes = [
+        df.agg(F.count("*").alias("n_rows"), F.count_distinct("cf" if name in ("headquarters", "registry", "financial") else "projectID").alias("n_keys"))
+        .select(F.lit(name).alias("table_name"), "n_rows", "n_keys")
+        for name, df in found.items()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
 
 
 @query("E4_headquarters", "SELECT " + _texts(
     config.COMPANY_COLUMNS, "cf denominazione prov comune tipo_impresa stato_impresa tel rea piva")
-    + " FROM comp WHERE prov <> 'NA'")
+    + " FROM comp")
 def _(t: Tables):
     return _run_serving(t)["headquarters"]
 
@@ -301,7 +348,7 @@ def _(t: Tables):
 
 @query("E4_financial", E4 + "SELECT " + _texts(
     config.FINANCIAL_COLUMNS, "cf cia rea anno totale_attivo ricavi_delle_vendite")
-    + " FROM fin WHERE cf IN (SELECT cf FROM hq)")
+    + " FROM fin_load WHERE cf IN (SELECT cf FROM hq)")
 def _(t: Tables):
     return _run_serving(t)["financial"]
 
@@ -315,13 +362,13 @@ def _(t: Tables):
 
 @query("E4_organization", E4 + "SELECT " + _texts(
     config.ORGANIZATION_COLUMNS, "projectID organisationID name role ecContribution vatNumber", "cf")
-    + " FROM org WHERE projectID IN (SELECT projectID FROM pr)")
+    + " FROM org_load WHERE projectID IN (SELECT projectID FROM pr)")
 def _(t: Tables):
     return _run_serving(t)["organization"]
 
 
 @query("E4_topics", E4 + "SELECT " + _texts(
     config.TOPIC_COLUMNS, "projectID euroSciVocTitle euroSciVocPath euroSciVocCode")
-    + " FROM voc WHERE projectID IN (SELECT projectID FROM pr)")
+    + " FROM voc_load WHERE projectID IN (SELECT projectID FROM pr)")
 def _(t: Tables):
     return _run_serving(t)["topics"]

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from bizlake import config
-from bizlake.plans import jobs
+from bizlake.plans import jobs, loading, serving
 from bizlake.sources.delimited import read_delimited
 from bizlake.suite.samples import workbook_bytes
 
@@ -70,7 +70,8 @@ def test_from_files_to_serving_tables(spark, tmp_path):
     topics = read_delimited(spark, f"{out}/topics.csv", "|", blanks="keep")
     assert rows(topics, "projectID", "livello_2") == [("one", ""), ("two", "a")]
 
-    statements(source / "bilanci_2022.csv", "2022", ("001", "1000,5"), ("999", "2"), ("002", "abc"))
+    (source / "older").mkdir()
+    statements(source / "older" / "bilanci_2022.csv", "2022", ("001", "1000,5"), ("999", "2"), ("002", "abc"))
     jobs.financial_job(spark, str(source), str(out), 2022)
     statements(source / "bilanci_2023.csv", "2023", ("001", "3"))
     jobs.financial_job(spark, str(source), str(out), 2024)
@@ -79,12 +80,13 @@ def test_from_files_to_serving_tables(spark, tmp_path):
         ("001", "2023", "3,0", "3,0"), ("999", "2022", "2,0", "2,0"),
     ]
 
-    tables = jobs.serving_job(spark, {
+    load = jobs.serving_job(spark, {
         "headquarters": f"{out}/headquarters.csv", "registry": f"{out}/registry_filtered.csv",
         "financial": f"{out}/financial.csv", "project": f"{out}/project.csv",
         "organization": f"{out}/organization.csv", "topics": f"{out}/topics.csv",
-    })
-    assert rows(tables["load_counts"], "table_name", "loaded", "skipped") == [
+    }, str(tmp_path / "served"))
+    tables = loading.published_tables(spark, str(tmp_path / "served"), serving.TABLES)
+    assert rows(load.report("financial", "organization", "topics"), "table_name", "loaded", "skipped") == [
         ("financial", 1, 1), ("organization", 2, 0), ("topics", 2, 0),
     ]
     assert rows(tables["organization"], "projectID", "cf", "ecContribution") == [
