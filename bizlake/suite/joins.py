@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import label_or, site_key, site_number
+from ..functions import contains_ignoring_case, label_or, site_key, site_number
 from ..operators.aggregates import first_nonblank
 from ..operators.dedup import drop_repeated_when, keep_first, mark_repeated, repeated_keys
 from ..operators.joins import (
     drop_matching, join_by, keep_matching, look_up, split_by_parent,
 )
 from ..operators.order import number_in_group
+from ..operators.search import build_index, search
 from ..plans import dashboards, financial, participation, registry
 from .base import Tables, query
 from .bindings import LINE_ORDER, LINE_ORDER_SQL
@@ -210,6 +211,25 @@ def _(t: Tables):
     )
 
 
+@query("P21_indexed_search", """
+SELECT cf, denominazione, comune FROM comp
+WHERE contains(lower(cf), 'omer#00000007') OR contains(lower(denominazione), 'omer#00000007')
+   OR contains(lower(comune), 'omer#00000007')""")
+def _(t: Tables):
+    fields = ["cf", "denominazione", "comune"]
+    return search(build_index(t.comp.select(*fields), fields), "OMER#00000007").select(*fields)
+
+
+@query("J15_indexed_search", """
+SELECT cf FROM comp WHERE contains(cf, 'tta 12') OR cf IN
+  (SELECT cf FROM sites WHERE contains(lower(denominazione), 'tta 12') OR contains(lower(comune), 'tta 12'))""")
+def _(t: Tables):
+    """Companies found through the index of their registry rows."""
+    index = build_index(t.sites.select("cf", "denominazione", "comune"), ["denominazione", "comune"])
+    own = t.comp.select("cf").filter(contains_ignoring_case(F.col("cf"), "tta 12"))
+    return keep_matching(t.comp.select("cf"), search(index, "tta 12"), "cf").unionByName(own).distinct()
+
+
 CURRENT = "SELECT trim(cf) AS cf, anno FROM fin_raw WHERE o_orderstatus = 'P'"
 PREVIOUS = "SELECT trim(cf) AS cf, anno FROM fin_raw WHERE o_orderstatus <> 'P'"
 

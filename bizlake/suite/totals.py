@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import date_or_null, parse_amount, repair_shifted_year
 from ..operators.aggregates import count_by_flag, distinct_by_case, distinct_per_group, frequencies
+from ..operators.bitmaps import add_load, distinct_counts
 from ..operators.joins import look_up
 from ..operators.names import join_names, whole_cells
 from ..operators.shares import top_rows, widths_of_shown
@@ -59,6 +60,28 @@ def _(t: Tables):
     return distinct_per_group(t.sites, ["tipo_impresa", "prov"], "cf", "company_count")
 
 
+@query("A6_counts_over_two_loads", """
+SELECT tipo_impresa, prov, CAST(count(DISTINCT cf) AS BIGINT) AS company_count
+FROM sites GROUP BY tipo_impresa, prov""")
+def _(t: Tables):
+    """Active sites are the first load, the others come later and are added."""
+    groups = ["tipo_impresa", "prov"]
+    active = F.col("stato_impresa") == "ATTIVA"
+    first = add_load(t.sites.filter(active), groups, "cf")
+    return distinct_counts(add_load(t.sites.filter(~active), groups, "cf", first), groups, "company_count")
+
+
+@query("A4_counts_rolled_up", """
+SELECT anno, CAST(count(DISTINCT cf) AS BIGINT) AS company_count FROM fin GROUP BY anno
+UNION ALL SELECT 'all', count(DISTINCT cf) FROM fin""")
+def _(t: Tables):
+    """A year is added to the years before; the total comes from the same bitmaps."""
+    late = F.col("anno") > "1996"
+    years = add_load(t.fin.filter(late), ["anno"], "cf", add_load(t.fin.filter(~late), ["anno"], "cf"))
+    total = distinct_counts(years, [], "company_count").select(F.lit("all").alias("anno"), "company_count")
+    return distinct_counts(years, ["anno"], "company_count").unionByName(total)
+
+
 @query("A7_amount_sums", f"""
 SELECT cf, anno, round(sum({amount_sql('ricavi_delle_vendite')}), 2) AS revenue FROM fin GROUP BY cf, anno""")
 def _(t: Tables):
