@@ -37,6 +37,11 @@ LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Numerals such as fractions and raised digits, which the pattern also finds, are none."""
+    return any(found[0].isalpha() for found in LETTER.finditer(text))
+
+
 def grams(word: str) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
@@ -164,7 +169,7 @@ class _Words:
     def __call__(self, texts: list[str | None]) -> tuple[list[bool], np.ndarray]:
         """Which texts have a letter, and the proportions of languages in each."""
         model = self.model
-        known = [bool(model.languages) and bool(LETTER.search(t or "")) for t in texts]
+        known = [bool(model.languages) and has_letter(t or "") for t in texts]
         words = [t.lower().split() if k else [] for t, k in zip(texts, known)]
         if len(self.place) > WORDS_KEPT:
             self.place, self.held = {}, self.held[:0].copy()

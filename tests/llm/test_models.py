@@ -161,3 +161,17 @@ def test_training_reaches_every_token(monkeypatch):
     run = scoring._training(None, classes, 0)
     run(pa.table({"block": [0], "docs": [docs]}), pa.table({"block": [0], "found": [found]}))
     assert seen == Counter(classes.of[text[:300_007]].tolist()) + Counter({0: 3})
+
+
+def test_large_ids_stand_beside_missing_ones(frame):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = [9007199254740993, None, 9007199254740995, 1]
+    docs = frame(["one two three", "two three", "three one", "one"] * 3, ids * 3).withColumn("held", F.lit(False))
+    rows = scoring.score_texts(docs, "held", path).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(ids * 3)
+
+
+def test_numerals_are_no_letters(docs, frame):
+    assert [languages.has_letter(t) for t in ("²½①", "Ⅷ 12 _", "", "½ a", "日", "ª")] == [False, False, False, True, True, True]
+    rows = languages.predict(frame(["²½①", "the and of the house"]), languages.learn(docs)).orderBy("doc_id").collect()
+    assert rows[0].lang_pred == "und" and rows[1].lang_pred == "en"
