@@ -10,6 +10,7 @@ from .. import config
 from ..operators.order import number_rows
 from ..plans import financial, participation, registry, serving
 from ..plans.loading import published_tables
+from ..plans.merging import merge_statements, statements
 from ..session import fresh_path
 from ..sources.delimited import read_delimited
 from ..sources.sinks import with_decimal_commas, write_delimited
@@ -242,6 +243,18 @@ def _(t: Tables):
     return financial.run_financial(_financial_input(t, True), _previous_statements(t))["valid"]
 
 
+@query("E3_merged_by_bucket", CHECKED + """
+SELECT * FROM cur UNION ALL
+(SELECT DISTINCT * FROM prev WHERE trim(cf) NOT IN (SELECT trim(cf) FROM cur))""")
+def _(t: Tables):
+    """Two deliveries, one after the other, into the same store."""
+    root = fresh_path(t.spark, "statements")
+    for now in (False, True):
+        valid = financial.run_financial(_financial_input(t, now))["valid"]
+        merge_statements(valid, root)
+    return statements(t.spark, root, valid.schema)
+
+
 @query("E3_errors", CHECKED + """
 SELECT o_orderkey + 1 AS riga, 'cannot convert: ' || string_split(bad, ';')[1] AS errore,
        bad AS bad_columns
