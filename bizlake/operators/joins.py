@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def join_by(
     left: DataFrame, right: DataFrame, keys: dict[str, str] | list[str], how: str = "inner",
-    null_is_value: bool = False,
+    null_is_value: bool = False, colocated: bool = False,
 ) -> DataFrame:
     """Equi-join that keeps the columns of ``left`` and adds the other ones of ``right``.
 
@@ -20,7 +20,8 @@ def join_by(
     Spark then shuffles both sides for this join, even a side that an
     aggregate has already partitioned by the key; only then can the skew-join
     rule split a hot key of the other side.  The side shuffled once more is the
-    aggregated one.
+    aggregated one.  ``colocated`` leaves the hash out, for tables that lie in
+    buckets of the key and need no shuffle at all.
     """
     pairs = keys if isinstance(keys, dict) else {k: k for k in keys}
     types = {f.name: f.dataType for f in left.schema}
@@ -28,12 +29,14 @@ def join_by(
     slim = right.select(
         *[F.col(r).cast(types[k]).alias(f"_r_{k}") for k, r in pairs.items()], *others
     )
-    hashed = slim.withColumn("_r_hash", F.hash(*[f"_r_{k}" for k in pairs]))
+    hashed = slim if colocated else slim.withColumn("_r_hash", F.hash(*[f"_r_{k}" for k in pairs]))
     same = [
         F.col(k).eqNullSafe(F.col(f"_r_{k}")) if null_is_value else F.col(k) == F.col(f"_r_{k}")
         for k in pairs
     ]
-    condition = reduce(Column.__and__, [*same, F.hash(*pairs) == F.col("_r_hash")])
+    if not colocated:
+        same.append(F.hash(*pairs) == F.col("_r_hash"))
+    condition = reduce(Column.__and__, same)
     return left.join(hashed, condition, how).drop(*[f"_r_{k}" for k in pairs], "_r_hash")
 
 

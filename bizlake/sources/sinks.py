@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import double_with_comma
+from ..session import fresh_path
 
 
 def write_delimited(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = "|") -> None:
@@ -43,6 +46,31 @@ def replace_table(df: DataFrame, table: str, path: str | None = None) -> None:
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+class SkewedKeyError(ValueError):
+    """One key holds too much of a table for buckets of that key."""
+
+
+def write_bucketed(
+    df: DataFrame, name: str, key: str, buckets: int, path: str | None = None, most: float = 4.0
+) -> DataFrame:
+    """Write a table in sorted buckets of ``key`` and return it as written.
+
+    Tables with the same number of buckets of keys of the same type join without a
+    shuffle.  All rows of a key lie in one bucket and are joined by one task, so a
+    key with more rows than ``most`` times an even bucket is refused; such tables
+    are joined by shuffling, where the skew-join rule splits the key.  Null keys
+    count as one.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("hot"), F.sum("n").alias("rows")).first()
+    if sizes.rows and sizes.hot > max(most * sizes.rows / buckets, 1_000):
+        raise SkewedKeyError(f"one {key} has {sizes.hot} of {sizes.rows} rows")
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    # each bucket is written once, by the task that holds it
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path or fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_json(df: DataFrame, path: str, if_absent: bool = False) -> None:
     """Write rows as JSON; ``if_absent`` leaves an existing target alone."""
     df.write.mode("ignore" if if_absent else "overwrite").json(path)

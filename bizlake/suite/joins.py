@@ -13,6 +13,7 @@ from ..operators.joins import (
 from ..operators.order import number_in_group
 from ..operators.search import build_index, search
 from ..plans import dashboards, financial, participation, registry
+from ..sources.sinks import write_bucketed
 from .base import Tables, query
 from .bindings import LINE_ORDER, LINE_ORDER_SQL
 
@@ -211,6 +212,15 @@ def _(t: Tables):
     )
 
 
+@query("J13_colocated_children", """
+SELECT comp.cf, denominazione, fin.anno, fin.rea FROM fin JOIN comp ON comp.cf = fin.cf""")
+def _(t: Tables):
+    """Companies and statements exported in buckets of the tax code, joined where they lie."""
+    companies = write_bucketed(t.comp.select("cf", "denominazione"), "companies", "cf", 16)
+    stated = write_bucketed(t.fin.select("cf", "anno", "rea"), "statements", "cf", 16)
+    return join_by(stated, companies, ["cf"], colocated=True).select("cf", "denominazione", "anno", "rea")
+
+
 @query("P21_indexed_search", """
 SELECT cf, denominazione, comune FROM comp
 WHERE contains(lower(cf), 'omer#00000007') OR contains(lower(denominazione), 'omer#00000007')
