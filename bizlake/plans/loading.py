@@ -13,6 +13,7 @@ stage itself, whose tasks count once however often they are tried.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -48,6 +49,12 @@ class Load:
         self.counts[table] = {k: seen.get[k] for k in ("loaded", "skipped")}
         return self.spark.read.schema(written.schema).parquet(self.path(table))
 
+    def add_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write tables that do not need each other at the same time."""
+        with ThreadPoolExecutor(max(len(tables), 1)) as pool:
+            running = {table: pool.submit(self.add, table, rows) for table, rows in tables.items()}
+            return {table: job.result() for table, job in running.items()}
+
     def check(self, *filled: str) -> None:
         """Stop where one of these tables is missing or has no rows."""
         lacking = [t for t in filled if not self.counts.get(t, {}).get("loaded")]

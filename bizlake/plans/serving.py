@@ -99,11 +99,13 @@ def load_serving(
     were written, so no parent is computed twice.
     """
     load = Load(sources["headquarters"].sparkSession, root)
-    headquarters = load.add("headquarters", load_headquarters(sources["headquarters"], [row_id]))
-    project = load.add("project", load_projects(sources["project"], [row_id]))
+    first = {
+        "headquarters": load_headquarters(sources["headquarters"], [row_id]),
+        "project": load_projects(sources["project"], [row_id]),
+    }
     if "registry" in tables:
-        load.add("registry", load_registry(sources["registry"], row_id).drop(row_id))
-    for name, rows in children_of(sources, headquarters, project).items():
-        if name in tables:
-            load.add(name, rows)
+        first["registry"] = load_registry(sources["registry"], row_id).drop(row_id)
+    written = load.add_all(first)
+    children = children_of(sources, written["headquarters"], written["project"])
+    load.add_all({name: rows for name, rows in children.items() if name in tables})
     return load
