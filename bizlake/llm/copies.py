@@ -85,14 +85,14 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id equals a null id.  Rows are told by id and digest; where these
     repeat, the rows' hashes settle which one stays.
     """
-    kept = exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).agg(F.count("*").alias("_n"))
-    kept = settle(kept, "kept")
-    keyed = docs.withColumn("_digest", _sha256(_norm("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept"))
-    single = keyed.join(kept.filter("_n = 1"), same, "left_semi").select(docs.columns)
-    repeated = kept.filter("_n > 1")
+    kept = exact_groups(docs).filter("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    kept = settle(kept.withColumnsRenamed({"doc_id": "id", "digest": "kept"}), "kept")
+    # the row travels as one value, so that its column names meet no others
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _sha256(_norm("text")).alias("digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("kept"))
+    single = keyed.join(kept.filter("n = 1"), same, "left_semi").select("row.*")
+    repeated = kept.filter("n > 1")
     if repeated.isEmpty():
         return single
-    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    first = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_digest").agg(row)
+    first = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return single.unionByName(first.select("row.*"))

@@ -9,15 +9,21 @@ information over documents, as a share of the value's own information,
 1 for a term that stands nowhere without the value.  Terms are runs of letters
 anywhere in a text but inside found values.  From ``GENERALISE`` on a term is put
 in general words, from ``REMOVE`` on it is taken out, if at least ``SUPPORT``
-different contexts (``REACH`` characters around the value) show the pair.  Terms
-are marked wherever they stand, in all texts.
+documents show the pair.  Documents whose value stands in the same context
+(``REACH`` characters around its place; of several places the one with the least
+hash) are copies of a passage and count once.  Terms are marked wherever they
+stand, in all texts.
 
 Everything is DataFrame and SQL functions.  Patterns are possessive and anchored
 so that they run in linear time and constant stack on any text; they find what
 the plain ones of the contract find.
 
+Work on one text is in proportion to its length: spans are handled in blocks, so
+that no step copies or walks the whole text once per span.
+
 Defined cases: null is empty; rows that share id and text share their spans;
-without found values nothing is marked.
+without found values nothing is marked; an empty table gives an empty one; other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -131,17 +137,72 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _in_blocks(spans: Column) -> Column:
+    """The spans as an array of arrays of at most ``BLOCK``; none of no spans."""
+    numbers = F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(BLOCK))
+    cut = F.transform(numbers, lambda at: F.slice(spans, at, BLOCK))
+    return F.when(F.size(spans) > 0, cut).otherwise(F.filter(F.array(spans), lambda x: F.lit(False)))
+
+
+def _replaced(text: Column, spans: Column, stands: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``stands(at, span)`` in place of each span; ``at`` is the end of what is covered so far.
+
+    Spans are in order of their starts and may overlap.  Every block of spans works
+    on its own stretch of the text, and the stretches are joined once at the end.
+    """
+
+    def last(block: Column) -> Column:
+        return F.array_max(F.transform(block, lambda s: s["end"]))
+
+    def opened(blocks: Column) -> Column:
+        """(block, from, to): the stretch of each block, from the end of all earlier spans."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("opens"))
+        ends = F.aggregate(
+            F.transform(blocks, last), zero,
+            lambda s, n: F.struct(F.greatest(s["at"], n).alias("at"), F.concat(s["opens"], F.array(F.greatest(s["at"], n))).alias("opens")),
+            lambda s: s["opens"],
+        )
+        starts = F.concat(F.array(F.lit(0)), ends)
+        return F.zip_with(blocks, F.arrays_zip(F.slice(starts, 1, F.size(ends)).alias("low"), ends.alias("high")), lambda b, p: F.struct(
+            b.alias("block"), p["low"].alias("low"), F.substring(text, p["low"] + 1, p["high"] - p["low"]).alias("part"), p["high"].alias("high")
+        ))
+
+    def written(piece: Column) -> Column:
+        def step(state: Column, span: Column) -> Column:
+            gap = F.substring(piece["part"], state["at"] - piece["low"] + 1, span["start"] - state["at"])
+            return F.struct(
+                F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap, stands(state["at"], span)).alias("out")
+            )
+
+        return F.aggregate(piece["block"], F.struct(piece["low"].alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+    def joined(pieces: Column) -> Column:
+        rest = F.substring(text, F.element_at(pieces, -1)["high"] + 1, F.length(text))
+        return F.array_join(F.concat(F.transform(pieces, written), F.array(rest)), "")
+
+    return F.when(F.size(spans) > 0, _let(_let(_in_blocks(spans), opened), joined)).otherwise(text)
+
+
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with blanks in place of its spans."""
+    return _replaced(text, spans, lambda at, span: F.repeat(F.lit(" "), span["end"] - F.greatest(at, span["start"])))
+
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        blank = F.repeat(F.lit(" "), span["end"] - F.greatest(state["at"], span["start"]))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap, blank).alias("out"))
+def _contexts(text: Column, spans: Column) -> Column:
+    """Array of (value, context) of the spans; the context is a hash of the text around it."""
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def around(block: Column) -> Column:
+        low = F.greatest(block[0]["start"] - REACH, F.lit(0))
+        high = F.array_max(F.transform(block, lambda s: s["end"])) + REACH
+        stretch = F.struct(block.alias("block"), low.alias("low"), F.substring(text, low + 1, high - low).alias("part"))
+        return _let(stretch, lambda t: F.transform(t["block"], lambda s: told(t["part"], s, t["low"])))
+
+    def told(part: Column, s: Column, low: Column) -> Column:
+        left = F.greatest(s["start"] - REACH, F.lit(0))
+        before, after = F.substring(part, left - low + 1, s["start"] - left), F.substring(part, s["end"] - low + 1, REACH)
+        return F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("value"), F.xxhash64(before, after).alias("context"))
+
+    return F.flatten(F.transform(_in_blocks(spans), around))
 
 
 def _words(text: Column) -> Column:
@@ -163,23 +224,15 @@ def disclosures(found: DataFrame) -> DataFrame:
     """
     total = found.count()
     each = found.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    places = each.select("doc_id", "text_hash", "text", F.explode("spans").alias("s"))
-    low = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    left, right = F.substring("text", low + 1, F.col("s.start") - low), F.substring("text", F.col("s.end") + 1, F.lit(REACH))
-    told = places.select(
-        "doc_id", "text_hash", F.concat_ws(":", "s.kind", "s.value").alias("value"), F.xxhash64(left, right).alias("context")
-    )
-    told = settle(told.distinct(), "contexts")
-    values = told.groupBy("value").agg(
-        F.countDistinct(F.struct("doc_id", "text_hash")).alias("n_value"), F.countDistinct("context").alias("contexts")
-    )
+    told = each.select("doc_id", "text_hash", F.explode(_contexts(F.col("text"), F.col("spans"))).alias("t")).select("doc_id", "text_hash", "t.*")
+    told = settle(told.groupBy("doc_id", "text_hash", "value").agg(F.min("context").alias("context")), "contexts")
+    values = told.groupBy("value").agg(F.count("*").alias("n_value"), F.countDistinct("context").alias("contexts"))
     # a pair has no more contexts than its value
     values = settle(values.filter(F.col("contexts") >= SUPPORT).drop("contexts"), "values")
-    held = told.join(values.select("value"), "value").groupBy("doc_id", "text_hash", "value").agg(F.collect_set("context").alias("contexts"))
+    held = told.join(values.select("value"), "value").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("value", "context")).alias("held"))
     shown = _on_row(each.select("doc_id", "text_hash", _words(_blanked(F.col("text"), F.col("spans"))).alias("words")), held)
-    shown = shown.select("value", "contexts", F.explode("words").alias("term"))
-    shown = shown.select("value", "term", F.posexplode("contexts").alias("place", "context"))
-    pairs = shown.groupBy("value", "term", "context").agg(F.sum((F.col("place") == 0).cast("long")).alias("n"))
+    shown = shown.select("held", F.explode("words").alias("term")).select("term", F.inline("held"))
+    pairs = shown.groupBy("value", "term", "context").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("value", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts"))
     pairs = settle(pairs.filter(F.col("contexts") >= SUPPORT), "pairs")
     if pairs.isEmpty():
@@ -222,27 +275,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Spans that overlap are covered as one, under the first one's mark.
     """
     found = find_private(docs, id_col, text_col)
-    spans = found.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat("spans", "terms")).alias("_spans")
-    ).filter(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
+    spans = found.select("doc_id", "text_hash", F.array_sort(F.concat("spans", "terms")).alias("spans"))
+    spans = spans.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
-    joined = keyed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # the row travels as one value, so that its column names meet no others
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    joined = _on_row(keyed, spans, "left")
     mark = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
 
-    def step(state: Column, span: Column) -> Column:
+    def stands(at: Column, span: Column) -> Column:
         removed = (span["kind"] == TERM) & (span["value"].cast("double") >= REMOVE)
-        stands = F.when(removed, F.lit("")).otherwise(F.element_at(mark, span["kind"]))
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(span["start"] >= state["at"], F.concat(state["out"], gap, stands)).otherwise(state["out"]).alias("out"),
-        )
+        return F.when((span["start"] < at) | removed, F.lit("")).otherwise(F.element_at(mark, span["kind"]))
 
-    clean = F.aggregate("_spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean)
-    return joined.withColumn(text_col, new).select(*docs.columns)
+    old = F.col("row")[text_col]
+    new = F.when(F.col("spans").isNull(), old).otherwise(_replaced(F.coalesce(old.cast("string"), F.lit("")), F.col("spans"), stands))
+    return joined.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
