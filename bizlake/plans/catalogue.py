@@ -59,11 +59,11 @@ def unmapped_columns(annotated: DataFrame) -> DataFrame:
     return annotated.filter("semantic is null").select("position", "column_name")
 
 
-def structure(annotated: DataFrame) -> DataFrame:
-    """Columns with type and meaning, counts and unmapped columns, as one row."""
+def structure(annotated: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Columns with type and meaning, counts and unmapped columns, as one row, or one per dataset."""
     column = F.struct("position", F.col("column_name").alias("name"), "dtype", "semantic")
     unmapped = F.when(F.col("semantic").isNull(), F.struct("position", "column_name"))
-    packed = annotated.agg(
+    packed = annotated.groupBy(*by).agg(
         F.array_sort(F.collect_list(column)).alias("columns"),
         F.any_value("column_count").alias("column_count"),
         F.any_value("row_count").alias("row_count"),
@@ -75,19 +75,22 @@ def structure(annotated: DataFrame) -> DataFrame:
 
 def dataset_record(
     described: DataFrame,
-    title: str,
-    description: str,
-    file_name: str,
+    title: str | Column,
+    description: str | Column,
+    file_name: str | Column,
     media_type: str = "text/csv",
     keywords: list[str] = (),
     publisher: str | None = None,
     sources: list[str] = (),
     provenance: dict[str, str] | None = None,
-    size_bytes: int | None = None,
-    issued: str | None = None,
-    modified: str | None = None,
+    size_bytes: int | Column | None = None,
+    issued: str | Column | None = None,
+    modified: str | Column | None = None,
 ) -> DataFrame:
-    """A dataset description as one JSON text, from :func:`structure`."""
+    """A description as one JSON text for each row of ``described``, from :func:`structure`.
+
+    What differs between the rows is given as columns of ``described``.
+    """
     steps = [x for kv in (provenance or {}).items() for x in map(F.lit, kv)]
     text = "string"
     record = F.struct(
@@ -134,8 +137,8 @@ def catalogue(tables: dict[str, DataFrame], ending: str = ".csv") -> DataFrame:
     return merged
 
 
-def catalogue_record(lines: DataFrame) -> DataFrame:
-    """Catalogue lines as one JSON text; there is one line per dataset."""
+def catalogue_record(lines: DataFrame, issued: str | None = None) -> DataFrame:
+    """Catalogue lines as one JSON text with its date of issue; there is one line per dataset."""
     entry = F.struct("title", "file", "row_count", "column_count")
     listed = lines.agg(F.array_sort(F.collect_list(entry)).alias("datasets"))
     context = F.struct(
@@ -143,7 +146,8 @@ def catalogue_record(lines: DataFrame) -> DataFrame:
         F.lit("http://purl.org/dc/terms/").alias("dcterms"),
     )
     record = F.struct(
-        context.alias("@context"), F.lit("dcat:Catalog").alias("@type"), F.col("datasets")
+        context.alias("@context"), F.lit("dcat:Catalog").alias("@type"),
+        F.lit(issued).cast("string").alias("dcterms:issued"), F.col("datasets"),
     )
     return listed.select(F.to_json(record).alias("record"))
 

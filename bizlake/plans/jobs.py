@@ -5,15 +5,16 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config
 from ..session import settle
 from ..sources import files
+from ..sources.crosswalk import load_crosswalk
 from ..sources.delimited import read_delimited, read_skipping_long_lines
 from ..sources.sinks import with_decimal_commas, write_delimited
 from ..sources.workbooks import read_workbook
-from . import financial, participation, registry, serving
+from . import catalogue, cataloguing, financial, participation, registry, serving
 from .loading import Load, missing_path
 
 # fixed values: how snapshot files are named
@@ -131,3 +132,27 @@ def serving_job(spark: SparkSession, sources: dict[str, str], root: str) -> Load
     load.check("headquarters", "project")
     load.publish()
     return load
+
+
+def catalogue_job(
+    spark: SparkSession, folder: str, root: str, target: str, now: dt.datetime, crosswalk: str | None = None,
+    sep: str = "|", keywords: list[str] = (), publisher: str | None = None, provenance: dict[str, str] | None = None,
+) -> list[str]:
+    """Describe every dataset of a folder; returns the files that were read.
+
+    ``target/datasets/file=...`` gets one JSON text per dataset, ``target/catalogue``
+    the list of all.  What is known is kept under ``root``: a second run reads only
+    files that are new or changed.  ``crosswalk`` is the path of the columns' meanings.
+    """
+    _, read = cataloguing.update(spark, folder, root, sep)
+    meanings = load_crosswalk(spark, crosswalk or f"{folder}/crosswalk.json")
+    described = settle(cataloguing.describe(cataloguing.known(spark, root), meanings), "described")
+    issued = now.isoformat(timespec="seconds")
+    records = catalogue.dataset_record(
+        described, F.col("title"), F.concat(F.lit("Dataset "), F.col("file")), F.col("file"), keywords=keywords, publisher=publisher,
+        provenance={"generated_on": issued, **(provenance or {})},
+        size_bytes=F.col("size_bytes"), issued=F.col("issued"), modified=F.col("modified"),
+    )
+    records.select("file", "record").write.mode("overwrite").partitionBy("file").text(f"{target}/datasets")
+    catalogue.catalogue_record(described, issued).write.mode("overwrite").text(f"{target}/catalogue")
+    return read

@@ -63,7 +63,7 @@ def read_delimited(
         records = read_records(spark, path, sep)
         _same_headers(records)
         rows = number_records(records, row_number) if row_number else records.filter(~F.col("_header"))
-        return _with_blanks(_parsed(rows, names, sep, [row_number] if row_number else []), names, blanks)
+        return _with_blanks(parse_records(rows, names, sep, [row_number] if row_number else []), names, blanks)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     scan = _reader(spark, sep, multi_line).schema(schema).csv(path)
     if row_number:
@@ -71,7 +71,7 @@ def read_delimited(
     return _with_blanks(scan, names, blanks)
 
 
-def _parsed(records: DataFrame, names: list[str], sep: str, keep: list[str]) -> DataFrame:
+def parse_records(records: DataFrame, names: list[str], sep: str, keep: list[str]) -> DataFrame:
     """The cells of each record under ``names``, then the columns to keep."""
     ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
     options = {"sep": sep, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "_broken"}
@@ -103,7 +103,7 @@ def read_skipping_long_lines(
         records = read_records(spark, path, sep)
         _same_headers(records)
         rows = number_records(records, row_number) if row_number else records.filter(~F.col("_header"))
-        landed = _parsed(rows, [*names, "_broken"], sep, [row_number] if row_number else [])
+        landed = parse_records(rows, [*names, "_broken"], sep, [row_number] if row_number else [])
     else:
         schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "_broken"]])
         scan = (

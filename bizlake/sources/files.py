@@ -17,8 +17,8 @@ WANTED_MEMBERS = ["project", "organization", "euroscivoc"]
 CHUNK = 4 << 20
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*", content: bool = False) -> DataFrame:
-    """Files of a folder tree: path, name, size_bytes, modified, and the content if asked for."""
+def list_files(spark: SparkSession, folder: str | list[str], pattern: str = "*", content: bool = False) -> DataFrame:
+    """Files of a folder tree, or of a list of paths: path, name, size_bytes, modified, and the content if asked for."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)

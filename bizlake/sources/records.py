@@ -44,7 +44,7 @@ def quote_steps(line: Column, sep: str) -> tuple[Column, Column]:
     return outside, within
 
 
-def _lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
     """(_file, _block, _line, _out, _in): lines in file order within each split."""
     scan = spark.read.option("lineSep", "\n").text(path)
     outside, within = quote_steps(F.col("_line"), sep)
@@ -182,8 +182,8 @@ def _parts(batches) -> Iterator[pa.RecordBatch]:
             yield split.taken()
 
 
-def read_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """(_file, _block, _at, _header, record) of a delimited file or folder, by any number of tasks.
+def read_records(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
+    """(_file, _block, _at, _header, record) of delimited files or folders, by any number of tasks.
 
     ``_at`` counts the records that begin in the split, from 0, without the
     header.  Row order within the result means nothing.

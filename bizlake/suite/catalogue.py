@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config
-from ..plans import catalogue
+from ..plans import catalogue, cataloguing
 from ..session import fresh_path
 from ..sources import files
 from ..sources.sinks import write_delimited
@@ -162,3 +162,71 @@ def _(t: Tables):
     write_delimited(t.comp.select("cf", "denominazione"), path)
     written = t.spark.read.option("sep", "|").option("header", True).csv(path)
     return catalogue.table_size(written, "comp", "comp.csv")
+
+
+#: Tables exported to one folder, and the columns of each.
+EXPORTED = {
+    "org": ORGANIZATION, "comp": ["cf", "denominazione", "prov", "comune", "tel"],
+    "fin": ["cf", "cia", "rea", "anno", "ricavi_delle_vendite"],
+}
+
+
+def _as_text(table: str) -> str:
+    """A table as it reads from a file: blank cells are missing."""
+    cells = ", ".join(f"nullif(CAST({c} AS VARCHAR), '') AS {c}" for c in EXPORTED[table])
+    return f"(SELECT {cells} FROM {table}) AS x"
+
+
+def _exported(t: Tables, *tables: str) -> str:
+    folder = fresh_path(t.spark, "exports")
+    for table in tables:
+        write_delimited(getattr(t, table).select(*EXPORTED[table]), f"{folder}/{table}.csv")
+    return folder
+
+
+@query("M1_folder_profile", " UNION ALL ".join(
+    f"SELECT '{name}.csv' AS file, * FROM ({_profile_sql(_as_text(name), columns)})" for name, columns in EXPORTED.items()))
+def _(t: Tables):
+    """Columns and types of all exports of a folder, in one pass over their cells."""
+    folder, root = _exported(t, *EXPORTED), fresh_path(t.spark, "known")
+    cataloguing.update(t.spark, folder, root)
+    return cataloguing.dataset_columns(cataloguing.known(t.spark, root))
+
+
+@query("M6_folder_catalogue", " UNION ALL ".join(
+    f"""SELECT '{name}' AS title, '{name}.csv' AS file, count(*) AS row_count,
+ CAST({len(columns)} AS BIGINT) AS column_count, 'true' AS sized,
+ '{";".join(c for c in columns if c not in ("projectID", "cf", "name"))}' AS unmapped FROM {name}"""
+    for name, columns in EXPORTED.items()))
+def _(t: Tables):
+    """One description per dataset of a folder, with the facts of its files."""
+    folder, root = _exported(t, *EXPORTED), fresh_path(t.spark, "known")
+    cataloguing.update(t.spark, folder, root)
+    described = cataloguing.describe(cataloguing.known(t.spark, root), _crosswalk(t))
+    record = catalogue.dataset_record(
+        described, F.col("title"), F.col("file"), F.col("file"), size_bytes=F.col("size_bytes"), issued=F.col("issued"), modified=F.col("modified"),
+    )
+    shape = (
+        "`dcterms:issued` string, `dcterms:modified` string, `dcat:distribution` struct<bytes:bigint>, "
+        "structure struct<row_count:bigint,column_count:bigint,unmapped_columns:array<string>>"
+    )
+    read = record.select("title", "file", F.from_json("record", shape).alias("r"))
+    sized = (F.col("r.dcat:distribution.bytes") > 0) & (F.col("r.dcterms:issued") <= F.col("r.dcterms:modified"))
+    return read.select(
+        "title", "file", "r.structure.row_count", "r.structure.column_count", sized.cast("string").alias("sized"),
+        F.array_join("r.structure.unmapped_columns", ";").alias("unmapped"),
+    )
+
+
+@query("S12_changed_files", """
+SELECT 'fin.csv' AS dataset, count(*) AS row_count FROM fin""")
+def _(t: Tables):
+    """Rows read by the second look at a folder to which one export was added."""
+    folder, root = _exported(t, "org", "comp"), fresh_path(t.spark, "known")
+    cataloguing.update(t.spark, folder, root)
+    write_delimited(t.fin.select(*EXPORTED["fin"]), f"{folder}/fin.csv")
+    _, read = cataloguing.update(t.spark, folder, root)
+    tables = cataloguing.known(t.spark, root)
+    opened = t.spark.createDataFrame([(path,) for path in read], "path string")
+    rows = tables["columns"].join(opened, "path").groupBy("path").agg(F.max("row_count").alias("n"))
+    return rows.join(tables["files"], "path").groupBy("dataset").agg(F.sum("n").alias("row_count"))
