@@ -289,11 +289,8 @@ def _verify(near: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(stream.select("a", "first", "vertex", "text").mapInArrow(_verified, "a long, b long"), "verified")
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document.
-
-    ``component_id`` is the smallest id among all documents reachable by links.
-    """
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, root, component_id) per document; ``root`` is null without shingles."""
     spark = docs.sparkSession
     docs = keyed_text(docs, id_col, text_col)
     n_bytes = text_bytes(docs)
@@ -337,10 +334,21 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = settle(components(links), "components")
     ids = sets.select("vertex", "least_id").join(found.withColumnRenamed("node", "vertex"), "vertex")
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = ids.join(least, "root").select("vertex", "component_id")
-    alone = sets.join(named.select("vertex"), "vertex", "left_anti").select("vertex", F.col("least_id").alias("component_id"))
-    result = described.select("doc_id", "n_shingles", "vertex").join(named.unionByName(alone), "vertex", "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = ids.join(least, "root").select("vertex", "root", "component_id")
+    alone = sets.join(named.select("vertex"), "vertex", "left_anti").select(
+        "vertex", F.col("vertex").alias("root"), F.col("least_id").alias("component_id")
+    )
+    result = described.select("doc_id", "text_hash", "n_shingles", "vertex").join(named.unionByName(alone), "vertex", "left")
+    root = F.when(F.col("n_shingles") > 0, F.col("root")).alias("root")
+    return result.select("doc_id", "text_hash", "n_shingles", root, F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document.
+
+    ``component_id`` is the smallest id among all documents reachable by links.
+    """
+    return _grouped(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,10 +356,30 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component the document with the smallest id stays."""
-    joined = similar_sets(docs)
-    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Pipeline stage: of every component the document with the smallest id stays.
+
+    A row without an id stays only if no row of its component has one.  Rows are
+    told by id and text; where both repeat, the rows' hashes settle which one
+    stays.  Documents without words are linked with nothing and stay, all of them.
+    """
+    rows = settle(_grouped(docs).select("doc_id", "text_hash", "root"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "text_hash")).alias("first")
+    heads = rows.filter("root is not null").groupBy("root").agg(first).select("root", "first.doc_id", "first.text_hash")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    times = rows.filter("root is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    heads = heads.alias("a").join(times.alias("b"), same).select("a.doc_id", "a.text_hash", "n")
+    wordless = rows.filter("root is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n")).distinct()
+    kept = settle(heads.unionByName(wordless), "kept")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # the row travels as one value, so that its column names meet no others
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    single = keyed.alias("a").join(kept.filter("n = 1").alias("b"), same, "left_semi").select("row.*")
+    repeated = kept.filter("n > 1")
+    if repeated.isEmpty():
+        return single
+    again = keyed.alias("a").join(repeated.alias("b"), same, "left_semi")
+    one = again.groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 OP6_SQL = r"""

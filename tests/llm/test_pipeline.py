@@ -31,3 +31,14 @@ def test_exact_stage_with_odd_ids(spark, odd, frame, tmp_path):
     again = frame(["p q", "p  q", "p q", "r", "s"], [None, None, None, 1, 1])
     rows = corpus_pipeline.exact_dedup(spark, again, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, " ".join(r.text.split())) for r in rows) == [(0, "p q"), (1, "r"), (1, "s")]
+
+
+def test_near_stage_with_odd_ids(spark, odd, frame, tmp_path):
+    words = " ".join(f"w{k}" for k in range(60))
+    texts = [words, words, words, words + " more", "p q r s t u", "p q r s t u", "other words of this text stand here", None, "", " "]
+    rows = corpus_pipeline.near_dedup(spark, frame(texts, [None, None, None, None, 5, 5, 5, 8, 8, 9]), str(tmp_path)).collect()
+    left = sorted((r.doc_id or 0, len((r.text or "").split())) for r in rows)
+    assert left in ([(0, n), (5, 6), (5, 7), (8, 0), (8, 0), (9, 0)] for n in (60, 61))
+    rows = corpus_pipeline.near_dedup(spark, frame([words, words, words + " more"], [None, 7, 3]), str(tmp_path)).collect()
+    assert [r.doc_id for r in rows] == [3]
+    assert corpus_pipeline.near_dedup(spark, odd.limit(0), str(tmp_path)).columns == odd.columns
