@@ -6,18 +6,23 @@ two sketches is at most the symmetric difference of the sets; sets that link
 differ in at most a ninth of the sum of their sizes.
 
 Candidates: sets are dealt to bands by size, and in each band the (wide, sparse)
-sketch is cut into more slices than a linking pair can differ in, so one slice at
-least is equal.  A slice is known by the XOR of its shingles' hashes.  Each band
-has 2e spare slices, so every set may leave out any e of its own: the empty ones
-and those whose rarest shingle stands in most texts of the task, such as bits of
-common passages.
+sketch is cut into about three times as many slices as a linking pair can differ
+in.  A slice is known by the XOR of its shingles' hashes.  All slices stand in one
+order, the same for every set: by the count of their rarest shingle in the whole
+corpus (from a table of ``SLOTS`` counters that hashes share), empty ones last.
+If a pair can differ in d slices, the first equal one has at most d before it in
+either set, so each set is looked up by its first d + 1 and the slices of common
+passages are left out.
 
 Equal sets are one vertex, known by the XOR of its hashes.  Of its groups with
-an equal slice, every vertex is first compared with one other; after the
-components of these links are known, the pairs in different components are
-compared, so no link between components is lost and large groups of near copies
-never give all their pairs.  Pairs whose short parity sketches are too far apart
-go before texts are moved; the others are verified on their whole sets.
+an equal slice, every vertex is first compared with one other.  Then, in rounds,
+every vertex of a group that still holds several components is compared with the
+nearest sketch of another component among about ``NEAREST`` members of its group,
+until rounds find little.  At last all pairs of a group in different components
+are compared, in cells of ``CELL`` members, so no link between components is
+lost, and large groups of near copies, one component by then, give no pairs.
+Sketches are compared inside the task that holds the cell: a pair becomes a row
+only if its short parity sketches let it link.  It is verified on whole sets.
 
 Defined cases: null and empty texts have no shingles and no links; fewer than
 ``SHINGLE`` words make one shingle; repeated rows share a vertex; a null id is
@@ -50,16 +55,25 @@ NINTHS = 9
 SKETCH_BITS = 2048
 #: Texts that are compared with one other in a task.
 GROUP = 200
+#: Members of a group that a round looks for near ones in, and members of a cell of the last pass.
+NEAREST, CELL = 256, 4096
+#: Rounds end when links found are fewer than one in so many vertices of open groups.
+FEW = 20
 #: Keys that a task holds before it hands its blobs on, and keys in a bucket.
 FLUSH_KEYS, BUCKET_KEYS = 800_000, 400_000
 #: Slice keys for a byte of text.
 KEYS_PER_BYTE = 0.09
+#: Counters of shingles for the order of slices, and counters in a row of them.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 14
 
 SETS = pa.schema([
     ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("vertex", pa.int64()), ("sketch", pa.binary()),
+    ("slot", pa.int32()),
 ])
+COUNTS = pa.schema([("slot", pa.int32()), ("sketch", pa.binary())])
 BLOBS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("vertices", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +104,20 @@ def vertices_of(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.bincount(owner, minlength=n).astype(np.uint64)).view(np.int64)
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes ^ np.uint64(0xC0047)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _counters(counts: np.ndarray) -> dict[str, list]:
+    """Rows of counters that are not all zero."""
+    rows = [k for k, row in enumerate(counts.reshape(-1, SLOT_ROW)) if row.any()]
+    return {"slot": rows, "sketch": [squeeze(counts[k * SLOT_ROW : (k + 1) * SLOT_ROW].tobytes()) for k in rows]}
+
+
 def _described(batches):
+    """One row per text, then the counters of the shingles of its task's distinct sets."""
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    seen: set[int] = set()
     for chunk in chunks(batches):
         n = chunk.num_rows
         hashes, owner = shingle_sets(chunk.column("text").to_pylist())
@@ -103,7 +130,35 @@ def _described(batches):
         yield as_batch({
             "doc_id": chunk.column("doc_id"), "text_hash": chunk.column("text_hash"), "n_shingles": sizes,
             "vertex": pa.array(vertex, mask=sizes == 0), "sketch": [row.tobytes() if s else None for row, s in zip(packed, sizes)],
+            "slot": [None] * n,
         }, SETS)
+        new = np.array([v not in seen and not seen.add(v) for v in vertex.tolist()], dtype=bool)
+        counts += np.bincount(_slot(hashes[new[owner]]), minlength=SLOTS)
+    rows = _counters(counts)
+    none = [None] * len(rows["slot"])
+    yield as_batch({"doc_id": none, "text_hash": none, "n_shingles": none, "vertex": none, **rows}, SETS)
+
+
+def _added(batches):
+    """Rows of counters summed over the partition."""
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for k, raw in zip(batch.column("slot").to_pylist(), batch.column("sketch")):
+            counts[k * SLOT_ROW : (k + 1) * SLOT_ROW] += np.frombuffer(unsqueeze(raw.as_py()), dtype=np.int64)
+    yield as_batch(_counters(counts), COUNTS)
+
+
+def corpus_ranks(counters: DataFrame) -> np.ndarray:
+    """For every slot the count of its shingles as a byte, in steps of a quarter of a power of two, at most 254.
+
+    The driver holds ``SLOTS`` numbers, whatever the size of the corpus.
+    """
+    parts = SLOTS // SLOT_ROW
+    added = counters.mapInArrow(_added, "slot int, sketch binary").repartition(parts, "slot").mapInArrow(_added, "slot int, sketch binary")
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for row in added.collect():
+        counts[row.slot * SLOT_ROW : (row.slot + 1) * SLOT_ROW] = np.frombuffer(unsqueeze(bytes(row.sketch)), dtype=np.int64)
+    return np.minimum(4 * np.log2(counts + 1.0), 254).astype(np.uint8)
 
 
 @lru_cache(maxsize=1)
@@ -115,46 +170,45 @@ def _edges(limit: int = 1 << 40) -> np.ndarray:
     return np.array(edges, dtype=np.int64)
 
 
-def slices(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slices of each band and how many of them a set may leave out."""
-    most = 2 * (_edges()[band + 1] - 1) // NINTHS
-    spare = most * 6 // 100 + 1
-    return most + 1 + 2 * spare, spare
+def most_apart(band: np.ndarray) -> np.ndarray:
+    """In how many shingles the linking pairs of a band can differ at most."""
+    return 2 * (_edges()[band + 1] - 1) // NINTHS
+
 
+def slices(band: np.ndarray) -> np.ndarray:
+    """Slices of each band."""
+    return 3 * most_apart(band) + 8
 
-def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, text) for the slices that each set is looked up by."""
     sizes = np.bincount(owner, minlength=n)
-    band = np.searchsorted(_edges(), np.maximum(sizes, 1), side="right") - 1
-    _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    texts_with = count[inverse]
+    edges = _edges()
+    band = np.searchsorted(edges, np.maximum(sizes, 1), side="right") - 1
+    rank_of = ranks[_slot(hashes)]
     keys, texts = [], []
     for up in (0, 1):
-        edges = _edges()
         # partners in this band: own sizes, or the larger ones that reach the next band
         largest = np.minimum(sizes * 5 // 4, edges[band + 1 + up] - 1)
         mine = (sizes > 0) & (largest >= edges[band + up])
         if not mine.any():
             continue
-        total, spare = slices(band + up)
-        used = np.minimum((sizes + largest) // NINTHS + 1 + 2 * spare, total)
-        total, used = np.where(mine, total, 0), np.where(mine, used, 0)
+        total = np.where(mine, slices(band + up), 0)
+        used = np.where(mine, (sizes + largest) // NINTHS + 1, 0)
         opens = np.cumsum(total) - total
         take = mine[owner]
         h, o = hashes[take], owner[take]
-        part = (mix(h ^ np.uint64(0x51CE)) % total[o].astype(np.uint64)).astype(np.int64)
+        at = opens[o] + (mix(h ^ np.uint64(0x51CE)) % total[o].astype(np.uint64)).astype(np.int64)
         word = np.zeros(int(total.sum()), dtype=np.uint64)
-        np.bitwise_xor.at(word, opens[o] + part, mix(h))
+        np.bitwise_xor.at(word, at, mix(h))
         # a slice is shared only by texts that share all of its shingles
-        rarest = np.full(len(word), np.iinfo(np.int64).max)
-        np.minimum.at(rarest, opens[o] + part, texts_with[take])
-        where = ragged(opens, used)
-        text = np.repeat(np.arange(n), used)
-        number = (where - opens[text]).astype(np.uint64)
-        key = mix(word[where] ^ mix(number * np.uint64(4096) + (band[text] + up + 1).astype(np.uint64)))
-        order = np.lexsort((-rarest[where], text))
-        rank = np.arange(len(order)) - (np.cumsum(used) - used)[text[order]]
-        kept = order[rank >= spare[text[order]]]
+        rank = np.full(len(word), 255, dtype=np.uint8)
+        np.minimum.at(rank, at, rank_of[take])
+        text = np.repeat(np.arange(n), total)
+        number = (np.arange(len(word)) - opens[text]).astype(np.uint64)
+        key = mix(word ^ mix(number * np.uint64(4096) + (band[text] + up + 1).astype(np.uint64)))
+        order = np.lexsort((key, rank, text))
+        kept = order[ragged(opens, used)]
         keys.append(key[kept])
         texts.append(text[kept])
     if not keys:
@@ -162,7 +216,7 @@ def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarr
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, ranks):
     """Task that sends slice keys to their buckets; a set that repeats in the task is sent once."""
 
     def blobs(key, vertex):
@@ -190,7 +244,7 @@ def _deal(buckets: int):
             vertex = vertices_of(hashes, owner, chunk.num_rows)
             new = np.array([v not in seen and not seen.add(v) for v in vertex.tolist()], dtype=bool)
             take = new[owner]
-            key, text = _slice_keys(hashes[take], owner[take], chunk.num_rows)
+            key, text = _slice_keys(hashes[take], owner[take], chunk.num_rows, ranks.value)
             held.append((key, vertex[text]))
             size += len(key)
             if size > FLUSH_KEYS:
@@ -235,7 +289,6 @@ def _meet(batches):
 
 def _verified(batches):
     """Pairs whose sets are similar enough: each group opens with the set that its others are compared with."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     base = np.empty(0, dtype=np.uint64)
     for chunk in chunks(batches):
         hashes, owner = shingle_sets(chunk.column("text").to_pylist())
@@ -251,7 +304,7 @@ def _verified(batches):
             if 100 * shared >= 80 * (len(base) + len(own) - shared):
                 left.append(a)
                 right.append(vertex)
-        yield as_batch({"a": left, "b": right}, schema)
+        yield as_batch({"a": left, "b": right}, PAIRS)
 
 
 @F.pandas_udf(IntegerType())
@@ -272,6 +325,91 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return settle(pairs.filter(close).select("a", "b"), "near")
 
 
+def _cells(batches):
+    """(vertex, root, size, side, sketch) of each cell; rows come sorted by ``cell``."""
+    held: list[tuple[np.ndarray, ...]] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, *numbers = (batch.column(c).to_numpy() for c in ("cell", "vertex", "root", "n_shingles", "side"))
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(cell), -1)
+        opens = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        for a, b in zip(opens, opens[1:]):
+            if held and cell[a] != current:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held = []
+            current = cell[a]
+            held.append((*(x[a:b] for x in numbers), sketch[a:b]))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _compared(nearest: bool):
+    """Task that compares the sketches of a cell: all close pairs of different roots, or each vertex's nearest."""
+
+    def run(batches):
+        for vertex, root, size, side, sketch in _cells(batches):
+            names, index, count = np.unique(root, return_inverse=True, return_counts=True)
+            # pairs inside the largest component need no look, so its members open no row
+            rows = np.flatnonzero(index != count.argmax())
+            step = max((1 << 17) // len(vertex), 1)
+            for at in range(0, len(rows), step):
+                i = rows[at : at + step, None]
+                apart = np.bitwise_count(sketch[i] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = size[i] + size[None, :]
+                close = (NINTHS * apart <= total) & (NINTHS * np.abs(size[i] - size[None, :]) <= total)
+                close &= (index[i] != index[None, :]) & ((side[i] != side[None, :]) | (side[i] == 2))
+                if nearest:
+                    best = np.where(close, apart, 1 << 40).argmin(axis=1)
+                    x = np.flatnonzero(close[np.arange(len(close)), best])
+                    y = best[x]
+                else:
+                    x, y = np.nonzero(close)
+                a, b = vertex[i[x, 0]], vertex[y]
+                if len(a):
+                    low, high = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                    yield as_batch({"a": low, "b": high}, PAIRS)
+
+    return run
+
+
+def _compare(rooted: DataFrame, sets: DataFrame, nearest: bool, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of different roots and one key whose sketches let them link.
+
+    ``rooted`` has (key, vertex, root, members).  A key with many members is cut:
+    for ``nearest`` into parts drawn anew each turn, else into blocks whose pairs
+    are cells, so that every pair meets and no task holds more than two blocks.
+    """
+    rows = rooted.join(sets.select("vertex", "n_shingles", "sketch"), "vertex")
+    if nearest:
+        part = F.pmod(F.xxhash64("vertex", F.lit(turn)), F.ceil(F.col("members") / NEAREST))
+        rows = rows.withColumn("cell", F.xxhash64("key", part)).withColumn("side", F.lit(2))
+    else:
+        blocks = F.ceil(F.col("members") / CELL)
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("vertex"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        rows = rows.withColumn("side", F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int")))
+    rows = rows.select("cell", "vertex", "root", F.col("n_shingles").cast("long").alias("n_shingles"), "side", "sketch")
+    parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_compared(nearest), "a long, b long").distinct()
+
+
+def _still_open(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, vertex, root, members) of the groups that hold several components."""
+    rooted = groups.join(found.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    counted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    return settle(rooted.join(counted.filter("low < high").select("key", "members"), "key"), "open")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        pairs = pairs.withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.filter("root_a <> root_b").select("a", "b")
+
+
 def _verify(near: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.
 
@@ -294,7 +432,10 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     docs = keyed_text(docs, id_col, text_col)
     n_bytes = text_bytes(docs)
-    described = settle(docs.mapInArrow(_described, "doc_id long, text_hash long, n_shingles long, vertex long, sketch binary"), "sets")
+    columns = "doc_id long, text_hash long, n_shingles long, vertex long, sketch binary, slot int"
+    described = settle(docs.mapInArrow(_described, columns), "sets")
+    ranks = spark.sparkContext.broadcast(corpus_ranks(described.filter("slot is not null").select("slot", "sketch")))
+    described = described.filter("slot is null").drop("slot")
     sets = described.filter("n_shingles > 0").groupBy("vertex").agg(
         F.min_by(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("text_hash").alias("t")), F.struct("doc_id", "text_hash")).alias("place"),
         F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
@@ -302,7 +443,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = settle(sets.select("vertex", F.col("place.d").alias("of_doc"), F.col("place.t").alias("of_text"), "least_id", "n_shingles", "sketch"), "vertices")
     buckets = max(math.ceil(n_bytes * KEYS_PER_BYTE / BUCKET_KEYS), 16)
     met = settle(
-        docs.mapInArrow(_deal(buckets), "bucket long, keys binary, vertices binary")
+        docs.mapInArrow(_deal(buckets, ranks), "bucket long, keys binary, vertices binary")
         .repartition(parts_for(spark, n_bytes), "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_meet, "kind int, a long, b long"),
         "met",
@@ -315,23 +456,20 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # each vertex with one other first: most groups are whole after this
     links = _verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
     found = settle(components(links), "components")
-    # then every pair with an equal slice whose ends are in different components
-    roots = found.withColumnRenamed("node", "vertex")
+    # the other pairs of the first comparison, and the nearest ones of other components, in rounds
     groups = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("vertex"))
-    rooted = groups.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rooted = settle(rooted.join(open_, "key", "left_semi"), "open")
-    one, two = rooted.alias("x"), rooted.alias("y")
-    across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    across = across.select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
-    apart = near
-    for side in ("a", "b"):
-        apart = apart.join(roots.select(F.col("vertex").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        apart = apart.withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    apart = apart.filter("root_a <> root_b").select("a", "b")
-    more = _verify(apart.unionByName(_near(across, sets)).distinct(), texts)
-    links = links.unionByName(more)
-    found = settle(components(links), "components")
+    pairs, turn = _apart(near, found), 0
+    while True:
+        open_ = _still_open(groups, found)
+        groups = open_.select("key", "vertex")
+        new = _verify(pairs.unionByName(_compare(open_, sets, True, turn)).distinct(), texts)
+        found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
+        if FEW * new.count() <= open_.agg(F.count_distinct("vertex")).first()[0]:
+            break
+        pairs, turn = pairs.limit(0), turn + 1
+    # then every pair with an equal slice whose ends are in different components
+    new = _verify(_compare(_still_open(groups, found), sets, False), texts)
+    found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
     ids = sets.select("vertex", "least_id").join(found.withColumnRenamed("node", "vertex"), "vertex")
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = ids.join(least, "root").select("vertex", "root", "component_id")

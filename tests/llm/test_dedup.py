@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bizlake.llm import copies, jaccard, substrings
@@ -104,6 +105,47 @@ def test_similar_sets(frame):
     assert [(r.n_shingles, r.component_id) for r in rows] == _components_brute(texts)
 
 
+def test_similar_sets_with_a_common_passage(frame, monkeypatch):
+    """A passage makes most of many texts: pairs meet in small parts and cells, none is lost."""
+    rng = random.Random(23)
+    draw = lambda k: [f"w{rng.randrange(9000)}" for _ in range(k)]
+    passage, texts = draw(100), []
+    for k in range(120):
+        own = draw(rng.choice([6, 9, 13, 20, 30]))
+        texts.append(" ".join(passage + own))
+        if k % 4 == 0:  # a near copy of this one
+            own[rng.randrange(len(own))] = "other"
+            texts.append(" ".join(passage + own))
+    chain = draw(150)
+    for _ in range(40):  # each links with the next, the ends do not
+        texts.append(" ".join(chain))
+        chain = chain[4:] + draw(4)
+    rng.shuffle(texts)
+    monkeypatch.setattr(jaccard, "NEAREST", 4)
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    rows = jaccard.similar_sets(frame(texts)).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in rows] == _components_brute(texts)
+
+
+def test_first_slices_hold_an_equal_one():
+    """Whatever the order of slices, linking sets are looked up by a common key."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 5, 9, 10, 11, 40, 150, 700):
+        for _ in range(20):
+            common = rng.integers(0, 1 << 63, size=n).astype(np.uint64)
+            extra = rng.integers(0, 1 << 63, size=rng.integers(0, n // 4 + 1)).astype(np.uint64)
+            one, two = common, np.concatenate([common, extra])  # n of at most 5/4 n
+            cut = rng.integers(0, (n + len(extra)) // 9 + 1)
+            one = np.concatenate([one[cut:], rng.integers(0, 1 << 63, size=cut).astype(np.uint64)])
+            both = len(np.intersect1d(one, two))
+            if 100 * both < 80 * (len(one) + len(two) - both):
+                continue
+            hashes, owner = np.concatenate([one, two]), np.repeat([0, 1], [len(one), len(two)])
+            ranks = rng.integers(0, 255, size=jaccard.SLOTS).astype(np.uint8)
+            key, text = jaccard._slice_keys(hashes, owner, 2, ranks)
+            assert len(np.intersect1d(key[text == 0], key[text == 1]))
+
+
 def test_similar_odd(odd):
     rows = jaccard.similar_sets(odd).collect()
     assert len(rows) == odd.count()
