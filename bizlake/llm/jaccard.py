@@ -6,10 +6,11 @@ two sketches is at most the symmetric difference of the sets; sets that link
 differ in at most a ninth of the sum of their sizes.
 
 Candidates: sets are dealt to bands by size, and in each band the (wide, sparse)
-sketch is cut into about three times as many slices as a linking pair can differ
+sketch is cut into about twice as many slices as a linking pair can differ
 in.  A slice is known by the XOR of its shingles' hashes.  All slices stand in one
 order, the same for every set: by the count of their rarest shingle in the whole
-corpus (from a table of ``SLOTS`` counters that hashes share), empty ones last.
+corpus (from a table of ``SLOTS`` counters that hashes share), empty ones last,
+then by their place.
 If a pair can differ in d slices, the first equal one has at most d before it in
 either set, so each set is looked up by its first d + 1 and the slices of common
 passages are left out.
@@ -177,7 +178,7 @@ def most_apart(band: np.ndarray) -> np.ndarray:
 
 def slices(band: np.ndarray) -> np.ndarray:
     """Slices of each band."""
-    return 3 * most_apart(band) + 8
+    return 2 * most_apart(band) + 8
 
 
 def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +206,12 @@ def _slice_keys(hashes: np.ndarray, owner: np.ndarray, n: int, ranks: np.ndarray
         rank = np.full(len(word), 255, dtype=np.uint8)
         np.minimum.at(rank, at, rank_of[take])
         text = np.repeat(np.arange(n), total)
-        number = (np.arange(len(word)) - opens[text]).astype(np.uint64)
-        key = mix(word ^ mix(number * np.uint64(4096) + (band[text] + up + 1).astype(np.uint64)))
-        order = np.lexsort((key, rank, text))
+        number = np.arange(len(word)) - opens[text]
+        # by rank, then number: one order of whatever slices two sets share
+        order = np.argsort((text << 40) + (rank.astype(np.int64) << 32) + number)
         kept = order[ragged(opens, used)]
-        keys.append(key[kept])
+        label = number[kept].astype(np.uint64) * np.uint64(4096) + (band[text[kept]] + up + 1).astype(np.uint64)
+        keys.append(mix(word[kept] ^ mix(label)))
         texts.append(text[kept])
     if not keys:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
@@ -392,7 +394,7 @@ def _compare(rooted: DataFrame, sets: DataFrame, nearest: bool, turn: int = 0) -
         rows = rows.withColumn("side", F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int")))
     rows = rows.select("cell", "vertex", "root", F.col("n_shingles").cast("long").alias("n_shingles"), "side", "sketch")
     parts = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_compared(nearest), "a long, b long").distinct()
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_compared(nearest), "a long, b long")
 
 
 def _still_open(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -462,13 +464,15 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     while True:
         open_ = _still_open(groups, found)
         groups = open_.select("key", "vertex")
-        new = _verify(pairs.unionByName(_compare(open_, sets, True, turn)).distinct(), texts)
+        # written once: which of two equally near ones is found depends on the order of rows
+        pairs = settle(pairs.unionByName(_compare(open_, sets, True, turn)).distinct(), "nearest")
+        new = _verify(pairs, texts)
         found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
         if FEW * new.count() <= open_.agg(F.count_distinct("vertex")).first()[0]:
             break
         pairs, turn = pairs.limit(0), turn + 1
     # then every pair with an equal slice whose ends are in different components
-    new = _verify(_compare(_still_open(groups, found), sets, False), texts)
+    new = _verify(settle(_compare(_still_open(groups, found), sets, False).distinct(), "across"), texts)
     found = settle(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
     ids = sets.select("vertex", "least_id").join(found.withColumnRenamed("node", "vertex"), "vertex")
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
