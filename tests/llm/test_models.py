@@ -106,6 +106,17 @@ def test_quality_keeps_good_rows(docs, labels, odd):
     assert quality.judge(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    n = 4_100
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(ids[4_000:])  # beyond the first 4,000 in the order of their hashes
+    rows = [(i, " ".join(f"w{i}x{k}" + (" ##" if i in bad else "") for k in range(60))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i not in bad)) for i in range(n)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.judge(docs, marks).filter("kept or base_failed").collect()}
+    assert not kept & bad and len(kept) >= 0.99 * (n - len(bad))
+
+
 def test_toxicity(docs, labels, odd):
     model = toxicity.learn(docs, labels)
     rows = toxicity.score(docs, model).join(labels, "doc_id").select("score", "toxic", held_out("doc_id", 4).alias("held")).collect()
