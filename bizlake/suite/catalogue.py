@@ -11,7 +11,7 @@ from ..sources import files
 from ..sources.sinks import write_delimited
 from ..sources.workbooks import workbook_cells
 from .base import TABLES, Tables, query
-from .samples import as_workbooks
+from .samples import as_workbooks, write_files
 
 
 def _profile_sql(table: str, columns: list[str], by: str = "") -> str:
@@ -96,8 +96,8 @@ def _(t: Tables):
     """Every page written to a file of its own: size and digests of each file."""
     path = fresh_path(t.spark, "manifest")
     pages = t.pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("html").alias("value"))
-    pages.write.partitionBy("page_id").text(path)
-    page = F.regexp_extract("path", "page_id=([^/]+)/", 1)
+    write_files(pages, "page_id", path)
+    page = F.regexp_extract("path", r"page_id=([^/]+)\.txt$", 1)
     return files.file_manifest(t.spark, path, "*.txt").select(page.alias("page_id"), "size_bytes", "sha256", "md5")
 
 

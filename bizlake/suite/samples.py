@@ -9,10 +9,14 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.files import _open
 
+#: Files that a folder of many small ones holds.
+FILES_IN_FOLDER = 10_000
+
 _NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -89,6 +93,35 @@ def write_archives(df: DataFrame, folder: str) -> None:
         sink.write(b"this is not an archive")
 
 
+def write_files(df: DataFrame, key: str, folder: str) -> None:
+    """Write each text of the column ``value`` as a line to a file named by its key.
+
+    A task writes to a folder of its own, at most ``FILES_IN_FOLDER`` files to each
+    of its parts; its rows of the same key share a file.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, fs, sink, last, n = TaskContext.get().partitionId(), None, None, None, 0
+        for batch in batches:
+            for name, value in zip(batch["key"], batch["value"]):
+                if sink is None or name != last:
+                    if sink:
+                        sink.close()
+                    part = f"{folder}/part-{task}/{n // FILES_IN_FOLDER}"
+                    if n % FILES_IN_FOLDER == 0:
+                        fs, inner = _open(part)
+                        fs.create_dir(inner, recursive=True)
+                    sink = fs.open_output_stream(f"{inner}/{key}={name}.txt")
+                    last, n = name, n + 1
+                sink.write((value or "").encode() + b"\n")
+        if sink:
+            sink.close()
+        yield pd.DataFrame({"n": [n]})
+
+    named = df.select(F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("key"), "value")
+    named.sortWithinPartitions("key").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write_lines(df: DataFrame, header: str, path: str) -> None:
     """Write the text column ``value`` as lines, each file starting with the header."""
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlake.sources import crosswalk, delimited, files, sinks, workbooks
+from bizlake.suite import samples
 from bizlake.suite.samples import workbook_bytes
 
 
@@ -176,3 +177,14 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(df.select("t"), target, if_absent=True)
     sinks.write_json(df.select("t").limit(0), target, if_absent=True)
     assert spark.read.json(target).count() == 1
+
+
+def test_many_small_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(samples, "FILES_IN_FOLDER", 40)
+    texts = [(k, f"page {k}") for k in range(100)] + [(7, "again"), (200, None), (None, "x")]
+    samples.write_files(spark.createDataFrame(texts, "page_id long, value string").coalesce(1), "page_id", str(tmp_path))
+    found = {r.name: r for r in files.file_manifest(spark, str(tmp_path), "*.txt").collect()}
+    assert len(found) == 102 and found["page_id=7.txt"].size_bytes == len("page 7\nagain\n")
+    assert found["page_id=200.txt"].size_bytes == 1 and "page_id=__HIVE_DEFAULT_PARTITION__.txt" in found
+    assert found["page_id=3.txt"].md5 == hashlib.md5(b"page 3\n").hexdigest()
+    assert len({r.path.rsplit("/", 1)[0] for r in found.values()}) <= 3
