@@ -67,3 +67,12 @@ def test_search_reads_less_than_the_scan(spark):
     assert picked.count() == 10 and "In(gram" in picked._jdf.queryExecution().executedPlan().toString()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [_bucket" in plan
+
+
+def test_postings_list_the_rows_of_a_batch(spark):
+    df = spark.range(5000).select(F.format_string("company %05d", "id").alias("name"))
+    postings = search.build_index(df, ["name"]).postings()
+    # 13 grams a row, 9 of which most rows share
+    assert postings.count() < 5000 * 13 / 4
+    rows = postings.filter("gram = 'com'").select(F.explode("rows").alias("r"))
+    assert rows.count() == rows.distinct().count() == 5000
