@@ -87,16 +87,19 @@ def number_in_group(
     order: list[Column | str],
     into: str,
     per_task: int = ROWS_PER_TASK,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of every group from 1.
 
     Groups of up to ``per_task`` rows are numbered by a window.  Larger ones are
     range-sorted as one table and shifted by their first number, so that no
     task has to hold them.  ``keys`` hold no nulls; ``order`` must be unique
-    within a group.
+    within a group.  ``sizes`` holds the keys that tell which groups are large,
+    where counting ``df`` would repeat its joins; numbers do not depend on it.
     """
+    counted = df if sizes is None else sizes.select(*keys).dropna()
     large = settle(
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_task).select(*keys),
+        counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_task).select(*keys),
         "large-groups",
     )
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")

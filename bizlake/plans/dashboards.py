@@ -112,7 +112,7 @@ def company_detail(
         "registry": placed(own(registry), order),
         "financial": placed(own(financial), [F.desc("anno"), "rea"]),
         "projects": number_in_group(
-            linked, ["cf"], ["projectID", "organisationID", *order], "place"
+            linked, ["cf"], ["projectID", "organisationID", *order], "place", sizes=organization
         ),
     }
 
@@ -223,14 +223,17 @@ def project_detail(
     themes = keep_matching(topics, chosen, "projectID")
     return {
         "project": chosen,
-        "organization": project_children(members, ["organisationID", *order]),
-        "topics": project_children(themes, ["livello_1", "livello_2", *order]),
+        "organization": project_children(members, ["organisationID", *order], organization),
+        "topics": project_children(themes, ["livello_1", "livello_2", *order], topics),
     }
 
 
-def project_children(children: DataFrame, order: list[str]) -> DataFrame:
-    """Children of all projects, numbered in display order within their project."""
-    return number_in_group(children, ["projectID"], order, "place")
+def project_children(children: DataFrame, order: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Children of all projects, numbered in display order within their project.
+
+    ``sizes`` are the same children before they were joined, if they were.
+    """
+    return number_in_group(children, ["projectID"], order, "place", sizes=sizes)
 
 
 def project_search(

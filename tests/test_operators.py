@@ -29,6 +29,13 @@ def test_group_numbers_are_the_same_for_large_groups(spark):
     assert (0, 699, 1) in rows(by_range, "k", "v", "n")
 
 
+def test_sizes_told_beforehand_change_no_number(spark):
+    df = spark.createDataFrame([(0, i) for i in range(40)] + [(1, i) for i in range(5)], "k int, v int").repartition(5)
+    told = spark.createDataFrame([(0,)] * 3 + [(1,)] * 9 + [(7,)] * 9 + [(None,)] * 9, "k int")
+    want = rows(order.number_in_group(df, ["k"], ["v"], "n"), "k", "v", "n")
+    assert rows(order.number_in_group(df, ["k"], ["v"], "n", per_task=4, sizes=told), "k", "v", "n") == want
+
+
 def test_joined_names_keep_order_and_skip_nulls(spark):
     df = spark.createDataFrame(
         [("p", "b", 2), ("p", "a", 1), ("p", None, 3), ("q", "z", 1)], "k string, v string, n int"
