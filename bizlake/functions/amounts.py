@@ -30,7 +30,7 @@ def parse_amount(text: Column) -> Column:
 
 def decimal_comma(text: Column) -> Column:
     """Text with every decimal point turned into a comma."""
-    return F.translate(text, ".", ",")
+    return F.replace(text, F.lit("."), F.lit(","))
 
 
 def double_with_comma(number: Column) -> Column:
@@ -62,4 +62,4 @@ def checked_int(text: Column) -> Column:
 
 def checked_float(text: Column) -> Column:
     """Double from stripped text with a decimal comma or point, null where it is none."""
-    return F.when(text.rlike(COMMA_NUMBER), F.translate(text, ",", ".").try_cast("double"))
+    return F.when(text.rlike(COMMA_NUMBER), F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))

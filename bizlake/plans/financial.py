@@ -73,7 +73,7 @@ def typed_like(previous: DataFrame, current: DataFrame) -> DataFrame:
         if previous.schema[field.name].dataType.simpleString() == "string":
             cell = F.nullif(cell, F.lit(""))
         if previous.schema[field.name].dataType != field.dataType:
-            cell = F.translate(cell, ",", ".").try_cast(field.dataType)
+            cell = F.replace(cell, F.lit(","), F.lit(".")).try_cast(field.dataType)
         cells.append(cell.alias(field.name))
     return previous.select(*cells)
 

@@ -102,21 +102,22 @@ def merge_statements(current: DataFrame, root: str, key: str = "cf") -> list[int
     if not changed:
         return []
     touched = F.col("_bucket").isin(changed)
-    gone = drop_matching(stored.filter(touched & (F.col("_id") != "")), now, "_id").distinct()
-    rows = settle(placed.filter(touched).unionByName(gone), "merged")
-    digests = settle(_digests(rows), "digests")
+    gone = settle(drop_matching(stored.filter(touched & (F.col("_id") != "")), now, "_id").distinct(), "gone")
+    # both tables are written already, and a company is in one of them only
+    rows = placed.filter(touched).unionByName(gone)
+    digests = settle(now.filter(touched).unionByName(_digests(gone)), "merged-digests")
     number = last.number + 1 if last else 1
     _note(spark, root, number, False, changed)
-    _clear_empty(spark, root, rows, changed, placed.schema)
+    _clear_empty(spark, root, digests, changed, placed.schema)
     _replace(rows, f"{root}/rows")
     _replace(digests, f"{root}/digests")
     _note(spark, root, number, True, [])
     return sorted(changed)
 
 
-def _clear_empty(spark: SparkSession, root: str, rows: DataFrame, changed: list[int], schema) -> None:
-    """A bucket left without rows gets a file without rows, as nothing else replaces it."""
-    filled = {r._bucket for r in rows.select("_bucket").distinct().collect()}
+def _clear_empty(spark: SparkSession, root: str, digests: DataFrame, changed: list[int], schema) -> None:
+    """A bucket left without companies gets a file without rows, as nothing else replaces it."""
+    filled = {r._bucket for r in digests.select("_bucket").distinct().collect()}
     for bucket in sorted(set(changed) - filled):
         for name, kind in (("rows", schema), ("digests", _stored(spark, f"{root}/none", _DIGESTS).schema)):
             empty = spark.createDataFrame([], kind).drop("_bucket")

@@ -74,3 +74,21 @@ def test_a_broken_run_is_made_good(store, monkeypatch):
     # the digests still say that this is what is stored
     assert deliver([("a", "1", 1.0)])[1] == [("a", "1", 1.0), ("b", "1", 1.0)]
     assert deliver([("a", "1", 1.0)])[0] == []
+
+
+def test_a_delivery_is_written_and_digested_once(store, monkeypatch):
+    deliver, _ = store
+    settled, digested = [], []
+    settle, digests = merging.settle, merging._digests
+    monkeypatch.setattr(merging, "settle", lambda df, label: settled.append((label, out := settle(df, label))) or out)
+    monkeypatch.setattr(merging, "_digests", lambda df: digested.append(df) or digests(df))
+    deliver([(f"c{k}", "2022", float(k)) for k in range(20)])
+    settled.clear(), digested.clear()
+    written, rows = deliver([("c7", "2023", 1.5), ("n1", "2023", 2.5)])
+    assert ("c7", "2023", 1.5) in rows and ("c7", "2022", 7.0) not in rows and len(rows) == 21
+    # only the delivery itself and the rows of vanished companies are written before the store
+    with_rows = {label: df.count() for label, df in settled if "value" in df.columns}
+    assert with_rows["delivery"] == 2 and sum(with_rows.values()) < 2 + 20 and set(with_rows) == {"delivery", "gone"}
+    # companies of the delivery are not digested again
+    assert digested[-1].filter("_id in ('c7', 'n1')").count() == 0
+    assert deliver([("c7", "2023", 1.5), ("n1", "2023", 2.5)])[0] == []

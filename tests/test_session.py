@@ -33,3 +33,14 @@ def test_settled_tables_keep_rows_and_schema(spark):
     df = spark.range(10).selectExpr("id", "cast(id as string) as `odd.name`")
     kept = settle(df)
     assert kept.columns == df.columns and kept.count() == 10
+
+
+def test_the_price_is_read_once_per_order(spark, tmp_path):
+    from bizlake.suite.base import Tables
+
+    spark.sql("SELECT 1L o_orderkey, 2L o_custkey, 'P' o_orderstatus, 1234.5D o_totalprice, "
+              "TIMESTAMP '1995-01-02' o_orderdate, '1-URGENT' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = Tables(spark, str(tmp_path)).fin_raw
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("cast(o_totalprice") == 1
+    assert "_price" not in rows.columns
+    assert rows.first().totale_attivo == "1234,50" and rows.first().totale_patrimonio_netto == "4938,00"
