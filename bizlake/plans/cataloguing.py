@@ -34,10 +34,12 @@ DIGESTED = 1 << 30
 
 def cell_kind(cell: Column) -> Column:
     """The bit of one cell."""
+    # signs, points and digits lie between these two: other cells are no numbers
+    number = (cell >= "+") & (cell < ":")
     return (
         F.when(cell.isNull() | (cell == ""), BLANK)
-        .when(cell.rlike(r"^[+-]?\d+$"), WHOLE)
-        .when(cell.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), DECIMAL)
+        .when(number & cell.rlike(r"^[+-]?\d+$"), WHOLE)
+        .when(number & cell.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), DECIMAL)
         .when(cell.rlike(TRUE_FALSE), LOGICAL)
         .otherwise(TEXT)
     )
@@ -69,13 +71,17 @@ def file_columns(spark: SparkSession, paths: list[str], sep: str = "|") -> DataF
     widest = records.filter("_header").agg(F.max(widths)).first()[0] or 1
     slots = [f"c{at}" for at in range(widest)]
     wide = parse_records(records, slots, sep, ["_file", "_header"])
-    cells = wide.select("_file", "_header", F.posexplode(F.array(*slots)).alias("at", "cell"))
-    counted = cells.filter(~F.col("_header")).groupBy("_file", "at").agg(
-        F.bit_or(cell_kind(F.col("cell"))).alias("kinds"),
-        F.count_if(F.col("cell") != "").alias("filled"), F.count("*").alias("row_count"),
+    # a record is one row up to here: only what is known of a file is turned into a row per column
+    per_file = wide.filter(~F.col("_header")).groupBy("_file").agg(
+        F.count("*").alias("row_count"),
+        *[F.bit_or(cell_kind(F.col(c))).alias(f"_kinds_{c}") for c in slots],
+        *[F.count_if(F.col(c) != "").alias(f"_filled_{c}") for c in slots],
     )
+    facts = F.array(*[F.struct(F.col(f"_kinds_{c}").alias("kinds"), F.col(f"_filled_{c}").alias("filled")) for c in slots])
+    counted = per_file.select("_file", "row_count", F.posexplode(facts).alias("at", "fact")).select("_file", "at", "fact.*", "row_count")
+    cells = wide.filter("_header").select("_file", F.posexplode(F.array(*slots)).alias("at", "cell"))
     name = F.regexp_replace("cell", "\ufeff", "")
-    named = cells.filter("_header").select("_file", "at", name.alias("name")).filter("name <> ''")
+    named = cells.select("_file", "at", name.alias("name")).filter("name <> ''")
     # one row per column of each file
     nth = F.row_number().over(Window.partitionBy("_file", "name").orderBy("at")) - 1
     named = named.withColumn("nth", nth).withColumn(

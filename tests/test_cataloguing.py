@@ -114,3 +114,16 @@ def test_job_describes_every_dataset(spark, tmp_path):
         {"title": "a", "file": "a.csv", "row_count": 2, "column_count": 2}, {"title": "b", "file": "b.csv", "row_count": 1, "column_count": 1},
     ]
     assert jobs.catalogue_job(spark, str(folder), str(tmp_path / "known"), str(out), NOW) == []
+
+
+def test_cells_are_not_turned_into_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "t.csv").write_text("a|b|c\n+1|.5|-\n-2|1.e3|:1\n3|+.5e-1|/\n")
+    found = cataloguing.file_columns(spark, [str(folder / "t.csv")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and " at#" in line.split("], [")[0]]
+    whole, decimal, text = cataloguing.WHOLE, cataloguing.DECIMAL, cataloguing.TEXT
+    assert {(r.column_name, r.kinds, r.filled, r.row_count) for r in found.collect()} == {
+        ("a", whole, 3, 3), ("b", decimal, 3, 3), ("c", text, 3, 3)
+    }
