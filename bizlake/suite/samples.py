@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,6 +18,9 @@ from ..sources.files import _open
 #: Files that a folder of many small ones holds.
 FILES_IN_FOLDER = 10_000
 
+#: Rows of an archive that are turned into text together.
+ROWS_AT_A_TIME = 200
+
 _NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -72,22 +76,26 @@ def as_workbooks(df: DataFrame, sheet: str, second: str | None = None) -> DataFr
 
 
 def write_archives(df: DataFrame, folder: str) -> None:
-    """Zip archives under ``folder`` with the rows of a table; one broken file beside them."""
+    """Zip archives under ``folder`` with the rows of a table; one broken file beside them.
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("csv/Project.csv", batch.to_csv(sep=";", index=False))
+    An archive is named by its task and written a few rows at a time, so that a
+    repeated task replaces it and no archive is held in memory.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, (fs, inner) = TaskContext.get().partitionId(), _open(folder)
+        fs.create_dir(inner, recursive=True)
+        for number, batch in enumerate(b for b in batches if b.num_rows):
+            path = f"{inner}/{task:06d}-{number:06d}.zip"
+            with fs.open_output_stream(path) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
+                with archive.open("csv/Project.csv", "w", force_zip64=True) as member:
+                    for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                        rows = batch.slice(at, ROWS_AT_A_TIME).to_pandas()
+                        member.write(rows.to_csv(sep=";", index=False, header=at == 0).encode())
                 archive.writestr("csv/webLink.csv", "a;b\n")
-            fs, inner = _open(folder)
-            fs.create_dir(inner, recursive=True)
-            path = f"{inner}/{hashlib.md5(out.getvalue()).hexdigest()}.zip"
-            with fs.open_output_stream(path) as sink:
-                sink.write(out.getvalue())
-            yield pd.DataFrame({"path": [path]})
-
-    df.mapInPandas(pack, "path string").write.format("noop").mode("overwrite").save()
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    df.mapInArrow(pack, "path string").write.format("noop").mode("overwrite").save()
     fs, inner = _open(folder)
     with fs.open_output_stream(f"{inner}/broken.zip") as sink:
         sink.write(b"this is not an archive")

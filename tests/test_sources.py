@@ -188,3 +188,16 @@ def test_many_small_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
     assert found["page_id=200.txt"].size_bytes == 1 and "page_id=__HIVE_DEFAULT_PARTITION__.txt" in found
     assert found["page_id=3.txt"].md5 == hashlib.md5(b"page 3\n").hexdigest()
     assert len({r.path.rsplit("/", 1)[0] for r in found.values()}) <= 3
+
+
+def test_archives_are_written_a_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(samples, "ROWS_AT_A_TIME", 3)
+    rows = [(k, None if k == 4 else f'text; "{k}"\nline') for k in range(10)]
+    for _ in range(2):  # a repeated task replaces its archives
+        samples.write_archives(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "z"))
+    archives = sorted(p.name for p in (tmp_path / "z").glob("*.zip"))
+    assert archives == ["000000-000000.zip", "broken.zip"]
+    with zipfile.ZipFile(tmp_path / "z" / archives[0]) as archive:
+        assert archive.namelist() == ["csv/Project.csv", "csv/webLink.csv"]
+        want = "doc_id;text\n" + "".join(f"{k};" + ("" if t is None else '"' + t.replace('"', '""') + '"') + "\n" for k, t in rows)
+        assert archive.read("csv/Project.csv").decode() == want
