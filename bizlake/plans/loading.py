@@ -45,7 +45,8 @@ class Load:
         seen = Observation()
         observed = rows.observe(seen, F.count_if(kept).alias("loaded"), F.count_if(~kept).alias("skipped"))
         written = observed.filter(HAS_PARENT).drop(HAS_PARENT) if child else observed
-        written.write.parquet(self.path(table))
+        # readers open a load many times; blank and repeated cells shrink well
+        written.write.option("compression", "zstd").parquet(self.path(table))
         self.counts[table] = {k: seen.get[k] for k in ("loaded", "skipped")}
         return self.spark.read.schema(written.schema).parquet(self.path(table))
 

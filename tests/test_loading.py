@@ -81,3 +81,9 @@ def test_empty_children_and_counts(spark, sources, tmp_path):  # noqa: F811
     assert load.counts["topics"] == {"loaded": 0, "skipped": 0}
     load.publish()
     assert loading.published_tables(spark, str(tmp_path), ["topics"])["topics"].count() == 0
+
+
+def test_tables_of_a_load_are_written_compactly(spark, tmp_path):
+    load = loading.Load(spark, str(tmp_path))
+    assert load.add("t", spark.range(5)).count() == 5
+    assert {p.name.split(".", 1)[1] for p in (tmp_path / "loads").rglob("part-*.parquet")} == {"zstd.parquet"}
