@@ -18,8 +18,14 @@ WHITE = (
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of every kind from both ends."""
-    return F.btrim(text, F.lit(WHITE))
+    """Remove white space of every kind from both ends.
+
+    Text that begins and ends with a visible ASCII character is taken as it is:
+    it needs no search for the 29 characters at both ends.
+    """
+    last = F.substr(text, F.lit(-1))
+    bare = (text >= "!") & (text < "\x7f") & (last >= "!") & (last < "\x7f")
+    return F.when(bare, text).otherwise(F.btrim(text, F.lit(WHITE)))
 
 
 def trim_or_empty(text: Column) -> Column:

@@ -116,3 +116,8 @@ def test_delimiters_of_long_quoted_records(spark):
     record = 'a;"' + 'x;""' * 250_000 + '";b'
     df = spark.createDataFrame([(record,)], "r string")
     assert df.select(count_delimiters(F.col("r"), ";").alias("n")).first().n == 2
+
+
+def test_strip_at_either_end(apply):
+    white = ["\u3000a", "a\u3000", "\x85a\x1c", " ", "", None, "\x7f", "é", " é ", "a b", "a\x7f ", "!", "~", "\u200ba "]
+    assert apply(white, fn.strip) == ["a", "a", "a", "", "", None, "\x7f", "é", "é", "a b", "a\x7f", "!", "~", "\u200ba"]
