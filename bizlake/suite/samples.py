@@ -86,6 +86,9 @@ def write_archives(df: DataFrame, folder: str) -> None:
         task, (fs, inner) = TaskContext.get().partitionId(), _open(folder)
         fs.create_dir(inner, recursive=True)
         for number, batch in enumerate(b for b in batches if b.num_rows):
+            # pandas would turn the numbers of some slices only into decimals: those with a missing one
+            whole = [c.cast(pa.float64(), safe=False) if pa.types.is_integer(c.type) and c.null_count else c for c in batch.columns]
+            batch = pa.RecordBatch.from_arrays(whole, names=batch.schema.names)
             path = f"{inner}/{task:06d}-{number:06d}.zip"
             with fs.open_output_stream(path) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
                 with archive.open("csv/Project.csv", "w", force_zip64=True) as member:

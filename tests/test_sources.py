@@ -190,6 +190,13 @@ def test_many_small_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
     assert len({r.path.rsplit("/", 1)[0] for r in found.values()}) <= 3
 
 
+def test_archives_write_numbers_of_a_batch_alike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(samples, "ROWS_AT_A_TIME", 1)
+    samples.write_archives(spark.createDataFrame([(1, "a"), (None, "b")], "doc_id long, text string").coalesce(1), str(tmp_path))
+    with zipfile.ZipFile(tmp_path / "000000-000000.zip") as archive:
+        assert archive.read("csv/Project.csv") == b"doc_id;text\n1.0;a\n;b\n"
+
+
 def test_archives_are_written_a_few_rows_at_a_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(samples, "ROWS_AT_A_TIME", 3)
     rows = [(k, None if k == 4 else f'text; "{k}"\nline') for k in range(10)]
