@@ -175,6 +175,55 @@ def test_training_reaches_every_token(monkeypatch):
     assert seen == Counter(classes.of[text[:300_007]].tolist()) + Counter({0: 3})
 
 
+def test_training_reaches_every_subword_id(monkeypatch):
+    sizes = np.array([50_000, 3, 900], dtype=np.int64)  # the last text is held out
+    text = np.arange(sizes.sum(), dtype=np.int32) % 3
+    docs = scoring._pack(np.arange(3), np.zeros(3, np.uint8), np.array([0, 0, 1], np.uint8), sizes, text)
+    words = [[0], [1, 7, 8], [0, 9]]
+    ids, lens = np.concatenate(words).astype(np.int32), np.array([len(w) for w in words], np.int32)
+    found = scoring._pack(
+        np.arange(3, dtype=np.int32), np.array([5, 6, 7]), ids, np.empty(0, np.uint8), lens, np.array([12, 6, 6, 6, 12, 7])
+    )
+    seen, given = Counter(), set()
+
+    def train(self, windows, targets, real, rate, moments):
+        seen.update(targets[real].tolist())
+        given.update(windows[real].tolist())
+
+    monkeypatch.setattr(scoring.Attention, "train", train)
+    classes = scoring.Classes({k: (100 + k, 1) for k in range(10)}, 2, 10, np.arange(10) < 2)
+    scoring._training(None, classes, 0)(pa.table({"block": [0], "docs": [docs]}), pa.table({"block": [0], "found": [found]}))
+    assert seen == Counter(classes.of[k] for w in text[:50_003] for k in words[w]) + Counter({0: 2})
+    assert given == {0, 1, 7, 8, 9, 10}
+
+
+def test_all_ids_of_a_word_count(frame):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["the house and the garden of the king"] * 20 + ["xqzjkva the king", "xqzjkwb the king", "the house", "the housf"]
+    docs = frame(texts).withColumn("held", F.col("doc_id") >= 20)
+    rows = {r.doc_id: r for r in scoring.score_texts(docs, "held", path).collect()}
+    # unknown words that begin alike
+    assert rows[20].base_score == rows[21].base_score and rows[20].ids_score != rows[21].ids_score
+    assert rows[20].score != rows[21].score  # what comes after them is told from all their ids
+    assert all(r.ids_score < 0 and r.score < 0 for r in rows.values())
+    assert rows[22].ids_score > rows[23].ids_score and rows[22].score > rows[23].score
+
+
+def test_scores_are_probabilities_of_what_follows():
+    words = [[0], [0, 3], [0, 3, 4], [1]]  # ids 0 and 1 open a word, 2 to 4 go on
+    ids, lens = np.concatenate(words).astype(np.int32), np.array([len(w) for w in words], np.int32)
+    count, passing = np.array([4, 2, 1, 5]), np.array([7, 7, 3, 7, 3, 1, 5])
+    spelling = scoring.Spelling(pa.table({"found": [scoring._pack(np.arange(4, dtype=np.int32), count, ids, np.empty(0, np.uint8), lens, passing)]}))
+    tally = {0: (7, 1), 1: (5, 1), 3: (3, 1), 4: (1, 1)}
+    classes = scoring.Classes(tally, 3, 5, np.arange(5) < 2)
+    assert classes.tokens == 15 and classes.words == 5
+    head = np.bincount(classes.of, 10**classes.inside, scoring.CLASSES)  # ids share their class whole
+    assert np.allclose(head[head > 0], 1)
+    # after [0]: 3 of 7 go on with id 3, 4 end; after [0, 3]: 1 of 3 goes on with id 4, 2 end
+    assert spelling.before.tolist() == [0, 0, 7, 0, 7, 3, 0, 0] and np.allclose(spelling.share[[2, 5]], [3 / 7, 1 / 3])
+    assert np.allclose(spelling.end_share[:4], [4 / 7, 2 / 3, 1, 1])
+
+
 def test_large_ids_stand_beside_missing_ones(frame):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = [9007199254740993, None, 9007199254740995, 1]
