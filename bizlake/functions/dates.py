@@ -16,10 +16,8 @@ def repair_shifted_year(text: Column) -> Column:
     """
     day = F.substr(text, F.lit(1), F.lit(10))
     century = F.substr(day, F.lit(1), F.lit(2))
-    repaired = F.concat(
-        (century.try_cast("int") - 30).cast("string"), F.substr(day, F.lit(3))
-    )
-    return F.when((F.length(day) >= 4) & century.isin("48", "49", "50", "51"), repaired)
+    earlier = F.when(century == "48", "18").when(century == "49", "19").when(century == "50", "20").when(century == "51", "21")
+    return F.when(F.length(day) >= 4, F.concat(earlier, F.substr(day, F.lit(3))))
 
 
 def strict_date(text: Column) -> Column:

@@ -31,27 +31,32 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mark_repeated(
-    df: DataFrame, keys: list[str], into: str, counted: DataFrame | None = None
+    df: DataFrame, keys: list[str], into: str, counted: DataFrame | None = None,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """Flag every member of a repeated key.
 
     Counts are combined before the shuffle and joined back, so no task has to
     hold a whole group.  ``counted`` is a table to count in place of ``df``,
-    for a cheaper one with the same groups.
+    for a cheaper one with the same groups; ``repeated`` holds the repeated keys
+    themselves.  Where they are settled, Spark knows their size before it
+    shuffles ``df``, and needs no shuffle if they are few.
     """
-    source = df if counted is None else counted
-    marked = repeated_keys(source, keys).select(*keys, F.lit(True).alias(into))
+    if repeated is None:
+        repeated = repeated_keys(df if counted is None else counted, keys)
+    marked = repeated.select(*keys, F.lit(True).alias(into))
     return join_by(df, marked, keys, "left", null_is_value=True).withColumn(
         into, F.coalesce(F.col(into), F.lit(False))
     )
 
 
 def drop_repeated_when(
-    df: DataFrame, keys: list[str], condition: Column, counted: DataFrame | None = None
+    df: DataFrame, keys: list[str], condition: Column, counted: DataFrame | None = None,
+    repeated: DataFrame | None = None,
 ) -> DataFrame:
     """Drop members of repeated keys that meet ``condition``; others stay."""
     return (
-        mark_repeated(df, keys, "_repeated", counted)
+        mark_repeated(df, keys, "_repeated", counted, repeated)
         .filter(~(F.col("_repeated") & F.coalesce(condition, F.lit(False))))
         .drop("_repeated")
     )

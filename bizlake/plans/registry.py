@@ -10,7 +10,7 @@ from .. import config
 from ..functions import (
     age_years, date_or_null, repair_shifted_year, scrub, site_key, site_number, strict_date,
 )
-from ..operators.dedup import drop_repeated_when, keep_first
+from ..operators.dedup import drop_repeated_when, keep_first, repeated_keys
 from ..operators.joins import join_by, keep_matching
 from ..operators.order import number_rows
 from ..session import settle
@@ -79,13 +79,14 @@ def key_sites(sites: DataFrame, companies: DataFrame, row_id: str = "row_id") ->
     )
 
 
-def drop_foreign_duplicates(sites: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def drop_foreign_duplicates(sites: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Of repeated (cf, sede_ul) rows, drop those registered by another province.
 
     A group goes away entirely when every member is registered elsewhere.
+    ``repeated`` holds the repeated keys, where they are known.
     """
     elsewhere = F.col("prov") != F.col("prov_camera_commercio")
-    return drop_repeated_when(sites, ["cf", "sede_ul"], elsewhere, counted)
+    return drop_repeated_when(sites, ["cf", "sede_ul"], elsewhere, repeated=repeated)
 
 
 def build_sites(
@@ -94,11 +95,21 @@ def build_sites(
     """The cleaned, keyed registry sheet.
 
     Company ids and repeated sites are worked out on the key columns of the raw
-    sheet; dropping whole companies does not change which sites repeat.
+    sheet; dropping whole companies does not change which sites repeat.  Cleaning
+    changes none of the columns that rows are dropped by, so that raw rows are
+    joined and only those that stay are cleaned; ``strict`` looks at all of them.
     """
-    cleaned = with_age(clean_sites(raw, snapshot, strict), as_of)
-    keyed = key_sites(cleaned, company_ids(raw, row_id), row_id)
-    return drop_foreign_duplicates(keyed, counted=raw.select("cf", "sede_ul"))
+    def cleaned(df: DataFrame) -> DataFrame:
+        return with_age(clean_sites(df, snapshot, strict), as_of)
+
+    companies = company_ids(raw, row_id)
+    repeated = settle(repeated_keys(raw.select("cf", "sede_ul"), ["cf", "sede_ul"]), "repeated")
+    if strict:
+        return drop_foreign_duplicates(key_sites(cleaned(raw), companies, row_id), repeated)
+    keyed = key_sites(raw, companies, row_id)
+    added = ["id_impresa", "id_localiz", "SEDE_UL_num"]
+    kept = cleaned(drop_foreign_duplicates(keyed, repeated))
+    return kept.select(*[c for c in kept.columns if c not in added], *added)
 
 
 def build_activities(raw: DataFrame, sites: DataFrame, snapshot: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,8 +26,12 @@ SNAPSHOT = "06_2024"
 
 # --- registry -------------------------------------------------------------------
 def _sites_built(t: Tables) -> DataFrame:
-    """The cleaned registry sheet; lines are numbered first, as a file scan would."""
-    lines = number_rows(t.lineitem, LINE_ORDER, "row_id")
+    """The cleaned registry sheet; lines are numbered first, as a file scan would.
+
+    Numbering writes the lines: only the columns of the sheet.
+    """
+    used = set(re.findall(r"\bl_\w+", BINDINGS["reg"]))
+    lines = number_rows(t.lineitem.select(*[c for c in t.lineitem.columns if c in used]), LINE_ORDER, "row_id")
     text = BINDINGS["reg"].replace("FROM {lineitem}", ", row_id FROM {lineitem}")
     raw = t.spark.sql(text, lineitem=lines).drop(*LINE_ORDER)
     return registry.build_sites(raw, SNAPSHOT, AS_OF)

@@ -85,6 +85,15 @@ def test_equal_dates_prefer_the_one_not_cancelled(spark):
     assert values(best, "rea") == [("2",)]
 
 
+def test_only_sites_that_stay_are_cleaned(spark):
+    raw = sites(spark, {"cf": "A", "sede_ul": "SEDE"}, {"cf": "A", "sede_ul": "UL-2"})
+    built = registry.build_sites(raw, "06_2024", AS_OF)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" in plan and "translate(" not in plan[plan.index("Join") :]
+    # no key is repeated, and the rows are not shuffled to find that out
+    assert plan.count("Join") == 2 and built._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") >= 1
+
+
 def test_scope_of_filtered_exports(exports):
     assert values(exports["registry_filtered"].filter("cf = 'A'"), "sede_ul") == [("SEDE",), ("UL-2",)]
     assert values(exports["activities"], "cf", "loc_n") == [("A", "0"), ("A", "1"), ("A", "2")]
