@@ -52,10 +52,15 @@ def _cutter(path: str, pattern: str) -> Cutter:
     letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
     def encode(pieces: list[str]) -> list[bytes]:
-        return [
-            array("I", [t.id for t in model.tokenize(p.encode().decode("latin1").translate(letters))]).tobytes()
-            for p in pieces
-        ]
+        ids, ends = array("I"), [0]
+        for piece in pieces:
+            # of printable ASCII only the blank is written otherwise
+            plain = piece.isascii() and piece.isprintable()
+            shown = piece.replace(" ", letters[32]) if plain else piece.encode().decode("latin1").translate(letters)
+            ids.extend([t.id for t in model.tokenize(shown)])
+            ends.append(4 * len(ids))
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     return Cutter(pattern, encode)
 

@@ -31,6 +31,24 @@ def test_ids_and_round_trip(frame):
     assert all(bpe.decode_ids(r.ids, RANKS).decode() == (t or "") for r, t in zip(rows[:50], texts))
 
 
+def test_words_with_marks_are_not_searched_and_outlive_full_tables(monkeypatch):
+    monkeypatch.setattr(bpe, "CUTS_KEPT", 8)
+    searched, encoded = [], []
+
+    def encode(pieces):
+        encoded.extend(pieces)
+        return [p.encode() for p in pieces]
+
+    cutter = bpe.Cutter(PATTERN, encode)
+    matches = cutter._matches
+    cutter._matches = lambda text: searched.append(text) or matches(text)
+    texts = [f"One the the, é. and a.b {k}x{k} ! w{k}, the. 1." for k in range(30)]
+    assert [cutter([t])[0] for t in texts] == [t.encode() for t in texts]
+    assert not {" the", " the,", " the.", " é.", " and"} & set(searched)
+    # met in every text, so they are worked out once, though the tables are full many times
+    assert encoded.count(" the") == 1 and searched.count(" a.b") == 1
+
+
 def test_encode_odd(odd):
     assert bpe.encode_documents(odd, RANKS, PATTERN).count() == odd.count()
     assert bpe.encode_documents(odd.limit(0), RANKS, PATTERN).count() == 0
