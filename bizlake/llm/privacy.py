@@ -47,6 +47,8 @@ TERM = "term"
 
 REACH = 60
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.97
+#: Terms of counted pairs that are sent to all tasks, so that other words are left out where they are read.
+TERMS_SENT = 200_000
 #: Matches of one text whose places are summed up at a time.
 BLOCK = 256
 LETTERS = r"\p{L}++"
@@ -237,8 +239,12 @@ def disclosures(found: DataFrame) -> DataFrame:
     pairs = settle(pairs.filter(F.col("contexts") >= SUPPORT), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
-    terms = found.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    terms = terms.join(pairs.select("term").distinct(), "term", "left_semi")
+    paired = pairs.select("term").distinct()
+    words = found.select(F.explode(_words(F.col("text"))).alias("term"))
+    if paired.limit(TERMS_SENT + 1).count() <= TERMS_SENT:
+        terms = words.join(F.broadcast(paired), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    else:
+        terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(paired, "term", "left_semi")
     joined = pairs.join(values, "value").join(terms, "term")
     information = F.log2(F.lit(float(total)) / F.col("n_value"))
     shared = F.log2(F.col("n_pair") * float(total) / (F.col("n_term") * F.col("n_value")))
@@ -258,6 +264,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = words.join(telling, "term").groupBy("doc_id", "text_hash").agg(
         F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("known")
     )
+    # written, so that its size is known: as long as it is small, no text moves
+    known = settle(known, "known")
     runs = matches(_blanked(F.col("text"), F.col("spans")), LETTERS)
     runs = F.filter(runs, lambda r: F.map_contains_key("known", F.lower(r["value"])))
     terms = F.transform(runs, lambda r: F.struct(
@@ -276,7 +284,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = find_private(docs, id_col, text_col)
     spans = found.select("doc_id", "text_hash", F.array_sort(F.concat("spans", "terms")).alias("spans"))
-    spans = spans.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    spans = settle(spans.filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]), "spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # the row travels as one value, so that its column names meet no others
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))

@@ -74,6 +74,34 @@ def test_disclosure_by_brute_force(frame):
     assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
 
 
+def _disclosing(frame):
+    texts = [f"day{chr(97 + n % 26)} plain {chr(97 + n // 26)}x words here" for n in range(300)]
+    return frame(texts + [f"zorro rides {'abcdefgh'[n] * 5} tonight mail z@a.org stable {'abcdefgh'[n] * 3}" for n in range(8)])
+
+
+def test_other_words_are_left_out_before_they_are_counted(spark, frame, monkeypatch):
+    found = privacy.keyed_text(_disclosing(frame)).withColumn("spans", privacy.base_spans(F.col("text")))
+    want = {(r.term, r.disclosure) for r in privacy.disclosures(found).collect()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = privacy.disclosures(found)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "zorro" in {term for term, _ in want} and {(r.term, r.disclosure) for r in few.collect()} == want
+        # below the first count, not above it
+        assert "BroadcastHashJoin" in plan and plan.rindex("partial_count") < plan.index("LeftSemi")
+        monkeypatch.setattr(privacy, "TERMS_SENT", 0)
+        assert {(r.term, r.disclosure) for r in privacy.disclosures(found).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_texts_stay_where_they_are_while_few_disclose(frame):
+    found = privacy.find_private(_disclosing(frame))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter("size(terms) > 0").count() == 8
+
+
 def test_copies_of_a_passage_count_once(frame):
     passage = "call the hidden falcon at f@a.org before dawn " * 2
     texts = [f"w{n} other text" for n in range(60)] + [passage + "x" * n for n in range(70, 76)]
