@@ -65,8 +65,13 @@ def _cutter(path: str, pattern: str) -> Cutter:
     return Cutter(pattern, encode)
 
 
-def cut_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document, with a number among the task's pieces of that length."""
+def cut_documents(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_tables: bool = True
+) -> DataFrame:
+    """Pieces of every document, with a number among the task's pieces of that length.
+
+    Workers keep the cutter's tables for their next task, unless ``keep_tables`` is false.
+    """
 
     def run(batches):
         cutter = _cutter(path, pattern)
@@ -89,6 +94,8 @@ def cut_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                     columns["nth"].append(int(met[b - a]))
                     met[b - a] += 1
             yield as_batch(columns, PIECES)
+        if not keep_tables:
+            cutter.forget()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long")
@@ -196,9 +203,11 @@ class Plan:
                 room.setdefault(fit - length, []).append((a, a + m))
 
 
-def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_tables: bool = True
+) -> DataFrame:
     """Pieces with the sequence and the offset they get."""
-    pieces = settle(cut_documents(docs, path, pattern, id_col, text_col), "pieces")
+    pieces = settle(cut_documents(docs, path, pattern, id_col, text_col, keep_tables), "pieces")
     per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most CAPACITY rows
     rows = np.array(sorted(Plan(counts).rows), dtype=np.int64).reshape(-1, 5)
@@ -220,10 +229,10 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     )
 
 
-def _public(docs: DataFrame) -> DataFrame:
+def _public(docs: DataFrame, keep_tables: bool = True) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_tables=keep_tables)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,5 +240,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sequences of what is left."""
-    return _public(docs)
+    """Pipeline stage: the sequences of what is left.
+
+    The session's workers go on to other stages, so they leave the tables of this one.
+    """
+    return _public(docs, keep_tables=False)

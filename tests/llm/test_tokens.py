@@ -3,9 +3,11 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -49,6 +51,29 @@ def test_words_with_marks_are_not_searched_and_outlive_full_tables(monkeypatch):
     assert encoded.count(" the") == 1 and searched.count(" a.b") == 1
 
 
+class Rows:
+    """Takes the task of a plan, to run it here."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_the_pipeline_leaves_no_tables_in_its_workers(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, *args, **options: asked.update(options))
+    packing.pack_all(spark, None, "")
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    cutter = packing._cutter(VOCABULARY, PATTERN)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a word, x1 y.", "other word"]})
+    kept = [b.to_pylist() for b in packing.cut_documents(Rows(), VOCABULARY, PATTERN)([batch])]
+    assert cutter._cuts and cutter._pieces
+    assert kept == [b.to_pylist() for b in packing.cut_documents(Rows(), VOCABULARY, PATTERN, **asked)([batch])]
+    assert not (cutter._cuts or cutter._older or cutter._pieces)
+
+
 def test_encode_odd(odd):
     assert bpe.encode_documents(odd, RANKS, PATTERN).count() == odd.count()
     assert bpe.encode_documents(odd.limit(0), RANKS, PATTERN).count() == 0
