@@ -65,11 +65,26 @@ def look_up(
     return join_by(df, dimension.select(key, *columns), {on: key}, "left")
 
 
+#: Rows that may be sent to all tasks where their number is known.
+ROWS_SENT = 100_000
+
+
+def never_sent(df: DataFrame) -> DataFrame:
+    """A side that joins by shuffling, however small Spark takes it to be.
+
+    Before it runs, Spark takes a table read from files to be as large as these, and
+    some of its columns to be their share by type: a key of a wide table that is mostly
+    blank is up to a hundred times as large in memory.
+    """
+    return df.hint("merge")
+
+
 def split_by_parent(
-    child: DataFrame, parent: DataFrame, on: str, parent_key: str | None = None
+    child: DataFrame, parent: DataFrame, on: str, parent_key: str | None = None, many: bool = False
 ) -> DataFrame:
-    """Child rows with ``has_parent``, from one pass over the child."""
+    """Child rows with ``has_parent``, from one pass over the child; ``many`` parents are not sent to all tasks."""
     parents = key_set(parent, parent_key or on).withColumn("_found", F.lit(True))
+    parents = never_sent(parents) if many else parents
     return join_by(child, parents, {on: parent_key or on}, "left").withColumn(
         "has_parent", F.col("_found").isNotNull()
     ).drop("_found")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import config
 from ..functions import trim_or_empty
 from ..operators.dedup import keep_first
-from ..operators.joins import split_by_parent
+from ..operators.joins import ROWS_SENT, split_by_parent
 from .loading import Load
 
 TABLES = ["headquarters", "registry", "project", "financial", "organization", "topics"]
@@ -46,30 +46,37 @@ def load_projects(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def load_children(
-    df: DataFrame, columns: list[str], parent: DataFrame, on: str, keep: list[str] = ()
+    df: DataFrame, columns: list[str], parent: DataFrame, on: str, keep: list[str] = (), many: bool = False
 ) -> DataFrame:
-    """Child rows with ``has_parent``; blank keys have none."""
-    return split_by_parent(serving_columns(df, columns, keep), parent, on)
+    """Child rows with ``has_parent``; blank keys have none.
+
+    Rows are joined as they come, with their key stripped, and get their blank columns
+    afterwards; ``many`` parents are not sent to all tasks.
+    """
+    others = [F.col(f"`{c}`") for c in columns if c in df.columns and c != on]
+    linked = split_by_parent(serving_columns(df, [on], [*others, *keep]), parent, on, many=many)
+    return serving_columns(linked, columns, [*keep, "has_parent"])
 
 
 def accepted(children: DataFrame) -> DataFrame:
     return children.filter("has_parent").drop("has_parent")
 
 
-def organization_children(df: DataFrame, project: DataFrame, keep: list[str] = ()) -> DataFrame:
+def organization_children(df: DataFrame, project: DataFrame, keep: list[str] = (), many: bool = False) -> DataFrame:
     """Organisations with ``has_parent``; a blank tax code is null."""
-    rows = load_children(df, config.ORGANIZATION_COLUMNS, project, "projectID", keep)
+    rows = load_children(df, config.ORGANIZATION_COLUMNS, project, "projectID", keep, many)
     return rows.withColumn("cf", F.nullif("cf", F.lit("")))
 
 
 def children_of(
-    sources: dict[str, DataFrame], headquarters: DataFrame, project: DataFrame
+    sources: dict[str, DataFrame], headquarters: DataFrame, project: DataFrame, many: set[str] = frozenset()
 ) -> dict[str, DataFrame]:
-    """The three child tables, each row with ``has_parent``."""
+    """The three child tables, each row with ``has_parent``; parents in ``many`` are not sent to all tasks."""
+    of_project = "project" in many
     return {
-        "financial": load_children(sources["financial"], config.FINANCIAL_COLUMNS, headquarters, "cf"),
-        "organization": organization_children(sources["organization"], project),
-        "topics": load_children(sources["topics"], config.TOPIC_COLUMNS, project, "projectID"),
+        "financial": load_children(sources["financial"], config.FINANCIAL_COLUMNS, headquarters, "cf", many="headquarters" in many),
+        "organization": organization_children(sources["organization"], project, many=of_project),
+        "topics": load_children(sources["topics"], config.TOPIC_COLUMNS, project, "projectID", many=of_project),
     }
 
 
@@ -96,7 +103,8 @@ def load_serving(
     """Write the serving tables as one load, not yet published.
 
     Parents are written first; their children are matched with them as they
-    were written, so no parent is computed twice.
+    were written, so no parent is computed twice, and by shuffling where more
+    than ``ROWS_SENT`` were counted.
     """
     load = Load(sources["headquarters"].sparkSession, root)
     first = {
@@ -106,6 +114,7 @@ def load_serving(
     if "registry" in tables:
         first["registry"] = load_registry(sources["registry"], row_id).drop(row_id)
     written = load.add_all(first)
-    children = children_of(sources, written["headquarters"], written["project"])
+    many = {table for table in first if load.counts[table]["loaded"] > ROWS_SENT}
+    children = children_of(sources, written["headquarters"], written["project"], many)
     load.add_all({name: rows for name, rows in children.items() if name in tables})
     return load

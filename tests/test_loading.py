@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from bizlake.operators.joins import ROWS_SENT
 from bizlake.plans import loading, serving
 from test_plans import sources  # noqa: F401
 
@@ -87,3 +88,26 @@ def test_tables_of_a_load_are_written_compactly(spark, tmp_path):
     load = loading.Load(spark, str(tmp_path))
     assert load.add("t", spark.range(5)).count() == 5
     assert {p.name.split(".", 1)[1] for p in (tmp_path / "loads").rglob("part-*.parquet")} == {"zstd.parquet"}
+
+
+def test_keys_of_many_parents_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    """Wide tables with few filled columns look small to Spark, which goes by their files."""
+    ids = spark.range(ROWS_SENT + 1).select(F.col("id").cast("string").alias("key"), F.lit(1).alias("row_id"))
+    few = spark.createDataFrame([("7",), ("none",), (" 7 ",), (None,)], "key string")
+    sources = {
+        "headquarters": ids.withColumnRenamed("key", "cf"), "project": ids.withColumnRenamed("key", "projectID"),
+        "financial": few.withColumnRenamed("key", "cf"),
+        **{name: few.withColumnRenamed("key", "projectID") for name in ("organization", "topics")},
+    }
+    plans, add = {}, loading.Load.add
+
+    def watched(load, table, rows):
+        plans[table] = rows._jdf.queryExecution().executedPlan().toString()
+        return add(load, table, rows)
+
+    monkeypatch.setattr(loading.Load, "add", watched)
+    children = ["financial", "organization", "topics"]
+    load = serving.load_serving(sources, str(tmp_path), tables=children)
+    for table in children:
+        assert "SortMergeJoin" in plans[table] and "Broadcast" not in plans[table], table
+        assert load.counts[table] == {"loaded": 2, "skipped": 2}, table
