@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlake.operators.joins import ROWS_SENT
 from bizlake.plans import loading, serving
+from bizlake.suite.base import Tables
 from test_plans import sources  # noqa: F401
 
 
@@ -111,3 +112,13 @@ def test_keys_of_many_parents_are_not_sent_to_all_tasks(spark, tmp_path, monkeyp
     for table in children:
         assert "SortMergeJoin" in plans[table] and "Broadcast" not in plans[table], table
         assert load.counts[table] == {"loaded": 2, "skipped": 2}, table
+
+
+def test_a_growing_table_of_a_binding_is_not_sent_to_all_tasks(spark, tmp_path):
+    lines = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"
+    spark.createDataFrame([(1, 1, 5, 1, 1.0), (2, 1, -1, 1, 1.0)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    part = spark.range(ROWS_SENT + 1).select(F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")])
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    topics = Tables(spark, str(tmp_path)).voc
+    assert "BroadcastHashJoin" not in topics._jdf.queryExecution().executedPlan().toString()
+    assert [row.euroSciVocPath for row in topics.collect()] == ["/x/x/x"]
