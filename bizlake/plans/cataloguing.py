@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import settle
 from ..sources.delimited import parse_records
-from ..sources.files import digest, list_files
+from ..sources.files import CHUNK, digest, list_files, stream_digests, streamable
 from ..sources.records import read_records
 from .catalogue import TRUE_FALSE, annotate, structure
 from .loading import Load, LoadError, published_tables
@@ -118,6 +118,16 @@ def _paths(df: DataFrame) -> list[str]:
     return [row.path for row in df.select("path").collect()]
 
 
+def _digests(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
+    """(path, sha256) of files up to ``DIGESTED``; no task holds more than a chunk of one where it can be read in pieces."""
+    large = [path for path, size in sizes.items() if CHUNK < size <= DIGESTED and streamable(path, size)]
+    digests = stream_digests(spark, large)
+    if whole := sorted(sizes.keys() - set(large)):
+        read = list_files(spark, whole, content=True).filter(F.col("size_bytes") <= DIGESTED)
+        digests = digests.unionByName(read.select("path", digest(F.col("content"))["sha256"].alias("sha256")))
+    return digests
+
+
 def update(spark: SparkSession, folder: str, root: str, sep: str = "|", pattern: str = "*.csv") -> tuple[Load, list[str]]:
     """Bring what is known under ``root`` up to date; returns the load and the files whose records were read.
 
@@ -131,13 +141,11 @@ def update(spark: SparkSession, folder: str, root: str, sep: str = "|", pattern:
     )
     facts = ["path", "size_bytes", "modified"]
     same = listed.join(before["files"].select(*facts, "sha256"), facts).select(*listed.columns, "sha256")
-    touched = _paths(listed.join(before["files"], facts, "left_anti"))
+    touched = {row.path: row.size_bytes for row in listed.join(before["files"], facts, "left_anti").collect()}
     files, unread = same, same.select("path")
     read: list[str] = []
     if touched:
-        whole = list_files(spark, touched, content=True).filter(F.col("size_bytes") <= DIGESTED)
-        digests = whole.select("path", digest(F.col("content"))["sha256"].alias("sha256"))
-        opened = settle(listed.join(before["files"], facts, "left_anti").join(digests, "path", "left"), "opened")
+        opened = settle(listed.join(before["files"], facts, "left_anti").join(_digests(spark, touched), "path", "left"), "opened")
         moved = opened.join(before["files"].filter("sha256 is not null"), ["path", "sha256"], "left_semi")
         read = sorted(_paths(opened.join(moved, "path", "left_anti")))
         files, unread = same.unionByName(opened), unread.unionByName(moved.select("path"))

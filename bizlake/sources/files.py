@@ -79,6 +79,38 @@ def digest(content: Column) -> dict[str, Column]:
     return {"sha256": F.sha2(content, 256), "md5": F.md5(content)}
 
 
+def _direct(path: str) -> tuple[pafs.FileSystem, str]:
+    """As :func:`_open`; a listed local path is taken as it is, with blanks and percent signs."""
+    return (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else _open(path)
+
+
+def streamable(path: str, size: int) -> bool:
+    """Whether a listed file can be read in pieces, which Spark's readers of whole files do not."""
+    try:
+        fs, inner = _direct(path)
+        return fs.get_file_info(inner).size == size
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _digest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            fs, inner = _direct(path)
+            sha256 = hashlib.sha256()
+            with fs.open_input_file(inner) as source:
+                while chunk := source.read(CHUNK):
+                    sha256.update(chunk)
+            yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [sha256.hexdigest()]})
+
+
+def stream_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, sha256) of files, each read by a task of its own that holds one chunk of it."""
+    listed = spark.createDataFrame([(path,) for path in paths], "path string")
+    # from one partition rows are dealt evenly
+    return listed.coalesce(1).repartition(max(len(paths), 1)).mapInArrow(_digest_files, "path string, sha256 string")
+
+
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Files of a folder tree with their digests; a file above the reader's limit stops the job."""
     listed = list_files(spark, folder, pattern, content=True)

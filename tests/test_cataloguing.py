@@ -1,6 +1,8 @@
 """What is known of a folder: types by bits, parts with different headers, only changed files read."""
 
 import datetime as dt
+import gzip
+import hashlib
 import json
 import os
 
@@ -127,3 +129,25 @@ def test_cells_are_not_turned_into_rows(spark, tmp_path):
     assert {(r.column_name, r.kinds, r.filled, r.row_count) for r in found.collect()} == {
         ("a", whole, 3, 3), ("b", decimal, 3, 3), ("c", text, 3, 3)
     }
+
+
+def test_large_files_are_digested_in_pieces(spark, tmp_path, monkeypatch):
+    """No task holds a file that can be read in pieces as one value."""
+    folder, root = tmp_path / "in 100%25", str(tmp_path / "known")
+    folder.mkdir()
+    body = b"x|y\n" + b"1|" + b"a" * (5 << 20) + b"\n"
+    given = {"large.csv": body, "packed.csv.gz": gzip.compress(body[:90]), "small.csv": b"x\n1\n"}
+    for name, content in given.items():
+        (folder / name).write_bytes(content)
+    whole, listing = [], cataloguing.list_files
+
+    def watched(spark, path, *args, content=False):
+        whole.extend(path if content else [])
+        return listing(spark, path, *args, content=content)
+
+    monkeypatch.setattr(cataloguing, "list_files", watched)
+    monkeypatch.setattr(cataloguing, "file_columns", lambda spark, *a: spark.createDataFrame([], cataloguing.COLUMNS))
+    cataloguing.update(spark, str(folder), root, pattern="*")
+    assert names(whole) == ["packed.csv.gz", "small.csv"]
+    found = {r.dataset: r.sha256 for r in cataloguing.known(spark, root)["files"].collect()}
+    assert found == {name: hashlib.sha256(content).hexdigest() for name, content in given.items()}
