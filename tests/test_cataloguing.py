@@ -5,11 +5,13 @@ import gzip
 import hashlib
 import json
 import os
+from pathlib import Path
 
 import pytest
 
 from bizlake.plans import cataloguing, jobs, loading
 from bizlake.plans.catalogue import profile
+from bizlake.sources import files
 
 NOW = dt.datetime(2024, 6, 30, 12, 0)
 
@@ -151,3 +153,19 @@ def test_large_files_are_digested_in_pieces(spark, tmp_path, monkeypatch):
     assert names(whole) == ["packed.csv.gz", "small.csv"]
     found = {r.dataset: r.sha256 for r in cataloguing.known(spark, root)["files"].collect()}
     assert found == {name: hashlib.sha256(content).hexdigest() for name, content in given.items()}
+
+
+def test_each_file_is_digested_by_its_own_task(spark, tmp_path):
+    paths = [str(tmp_path / f"{k}.bin") for k in range(6)]
+    for k, path in enumerate(paths):
+        Path(path).write_bytes(bytes([k]) * k)
+    digests = files.stream_digests(spark, [f"file:{path}" for path in paths])
+    assert digests.rdd.getNumPartitions() == 6
+    assert {r.path: r.sha256 for r in digests.collect()} == {
+        f"file:{path}": hashlib.sha256(bytes([k]) * k).hexdigest() for k, path in enumerate(paths)
+    }
+    (tmp_path / "packed.gz").write_bytes(gzip.compress(b"text"))  # as it is, not unpacked
+    packed = files.stream_digests(spark, [f"file://{tmp_path}/packed.gz"]).first()
+    assert packed.sha256 == hashlib.sha256((tmp_path / "packed.gz").read_bytes()).hexdigest()
+    assert files.stream_digests(spark, []).count() == 0
+    assert not files.streamable("nostore://a/b.csv", 3) and not files.streamable(f"file:{tmp_path}/none.csv", 3)
