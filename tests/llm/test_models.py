@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlake.llm import languages, privacy, quality, scoring, toxicity
+from bizlake.llm.bpe import Cutter
 from bizlake.llm.common import documents, held_out
 
 import public_tokenizers
@@ -236,3 +238,51 @@ def test_numerals_are_no_letters(docs, frame):
     assert [languages.has_letter(t) for t in ("²½①", "Ⅷ 12 _", "", "½ a", "日", "ª")] == [False, False, False, True, True, True]
     rows = languages.predict(frame(["²½①", "the and of the house"]), languages.learn(docs)).orderBy("doc_id").collect()
     assert rows[0].lang_pred == "und" and rows[1].lang_pred == "en"
+
+
+def test_blocks_hold_no_number_that_can_be_worked_out(monkeypatch):
+    """Word ids travel without the places of their beginnings, numbers without their empty bytes."""
+    monkeypatch.setattr(scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{k}{'xyz'[k % 3] * (k % 7)}" for k in range(at, at + 4000)) for at in range(0, 20_000, 2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "held_out": [k == 3 for k in range(10)], "text": texts})
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    left = pa.Table.from_batches(list(scoring._blocks(path, public_tokenizers.PATTERN)(iter([batch]))))
+    raw = scoring.unsqueeze(left["spelt"][0].as_py())
+    lens = np.frombuffer(raw[8:24], dtype=np.int64)
+    assert np.frombuffer(raw[:8], dtype=np.int64)[0] == 2  # lengths and ids
+    assert len(raw) == 24 + lens.sum()
+    counts = np.arange(100_000) % 50
+    assert len(scoring._pack(counts)) < len(scoring.squeeze(counts.astype(np.int32).tobytes()))
+    for values in (counts, np.empty(0, np.uint64), np.array([2**63 + 5, 1], np.uint64), np.array([-3, 7], np.int32)):
+        (back,) = scoring._unpack(scoring._pack(values), values.dtype.type)
+        assert back.dtype == values.dtype and (back == values).all()
+    # counts of beginnings that come back by bucket stand with the ids that end them
+    rows = sorted(scoring._lists(7)(iter(left.to_batches())), key=lambda b: b["bucket"][0].as_py())
+    right = pa.Table.from_batches(list(scoring._counted(iter(rows))))
+    spelling = scoring.Spelling(scoring._once(7)(left, right))
+    held = [w for k, text in enumerate(texts) if k != 3 for w in text.split()]
+    n, passing = Counter(held), Counter()
+    cutter, *_ = scoring._byte_bpe(path, public_tokenizers.PATTERN)
+    words = list(dict.fromkeys(w for text in texts for w in text.split()))
+    ids = [np.frombuffer(b, "<i4").tolist() for b in cutter([" " + w for w in words])]
+    for word, own in zip(words, ids):
+        for k in range(len(own)):
+            passing[tuple(own[: k + 1])] += n[word]
+    assert spelling.count.tolist() == [n[w] for w in words]
+    assert spelling.passing.tolist() == [passing[tuple(own[: k + 1])] for own in ids for k in range(len(own))]
+
+
+def test_white_space_next_to_a_blank_is_seen():
+    for mark in [chr(c) for c in range(0x3001) if chr(c).isspace()]:
+        assert Cutter.close(f"a {mark}b") and Cutter.close(f"a{mark} b"), hex(ord(mark))
+        assert not Cutter.close(f"a{mark}b c") or mark == " "
+    assert not Cutter.close("a b \u00e8 \u65e5\u672c")
+
+
+def test_workers_that_train_hold_no_vocabulary():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    scoring._byte_bpe(path, public_tokenizers.PATTERN)
+    assert list(scoring._lists(3)(iter([]))) == []
+    assert scoring._byte_bpe.cache_info().currsize == scoring.load_ranks.cache_info().currsize == 0
+    windows = scoring.Windows(np.arange(40, dtype=np.int32), np.array([40]), 50)
+    assert windows.ids.dtype == np.int32 and windows.cut(np.array([0]))[0].tolist() == [[50, *range(15)]]
